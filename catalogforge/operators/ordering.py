@@ -37,24 +37,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def _totals_before(counts: DataFrame, key: str, levels: int = 2) -> DataFrame:
-    """``key, before``: the sum of ``n`` over all smaller keys, block by block."""
+    """``key, before``: the sum of ``n`` over all smaller keys.
+
+    Summed within blocks of neighbouring keys first, then over the block totals, so
+    that only the totals of the top level meet in one task.
+    """
+    block, inside = f"_block{levels}", f"_inside{levels}"
     before = F.sum("n").over(
-        Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    blocked = counts.withColumn(
-        "_block", F.shiftright(key, BLOCK_BITS) if levels else F.lit(0).cast("bigint")
+        Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
-    inner = blocked.withColumn("_inner", F.coalesce(before, F.lit(0)))
+    of_key = F.shiftright(key, BLOCK_BITS) if levels else F.lit(0).cast("bigint")
+    blocked = counts.withColumn(block, of_key)
+    sums = blocked.withColumn(inside, F.coalesce(before, F.lit(0)))
     if not levels:
-        return inner.select(key, F.col("_inner").alias("before"))
-    outer = _totals_before(
-        blocked.groupBy("_block").agg(F.sum("n").alias("n")).withColumnRenamed("_block", "_key"),
-        "_key",
-        levels - 1,
-    )
-    return inner.join(outer, inner["_block"] == outer["_key"]).select(
-        key, (F.col("before") + F.col("_inner")).alias("before")
-    )
+        return sums.select(key, F.col(inside).alias("before"))
+    totals = blocked.groupBy(block).agg(F.sum("n").alias("n"))
+    outer = _totals_before(totals, block, levels - 1)
+    return sums.join(outer, block).select(key, (F.col("before") + F.col(inside)).alias("before"))
 
 
 def dense_sequence(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
