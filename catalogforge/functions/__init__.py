@@ -14,6 +14,7 @@ from catalogforge.functions.numbers import (
     whole_days,
     whole_minutes,
     with_thousands,
+    year_in_range,
     year_or_dash,
 )
 from catalogforge.functions.text import (
@@ -73,5 +74,6 @@ __all__ = [
     "whole_days",
     "whole_minutes",
     "with_thousands",
+    "year_in_range",
     "year_or_dash",
 ]

@@ -12,19 +12,28 @@ from catalogforge.functions.text import col, strip
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 NUMBER = rf"^[+-]?({_DIGITS}[.]?({_DIGITS})?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?$"
 
+EXACT_LIMIT = 2**53
+
 # The earliest year kept, and bytes per gigabyte.
 FIRST_YEAR = 1000
 BYTES_PER_GB = 1024**3
 
 
 def lenient_int(c: Column | str, default: int | None = 0) -> Column:
-    """Whole part of a number written as text; ``default`` where it is not one."""
+    """Whole part of a number written as text; ``default`` where it is not one.
+
+    Plain digits, by far the most common, skip the pattern match; they must read back
+    unchanged and be small enough for a double to hold exactly.
+    """
+    c = col(c)
+    digits = c.try_cast("bigint")
+    plain = (digits.cast("string") == c) & digits.between(-EXACT_LIMIT, EXACT_LIMIT)
     text = strip(c)
     number = F.when(
         text.rlike(NUMBER),
         F.replace(text, F.lit("_"), F.lit("")).try_cast("double").try_cast("bigint"),
     )
-    return F.coalesce(number, F.lit(default).cast("bigint"))
+    return F.coalesce(F.when(plain, digits), number, F.lit(default).cast("bigint"))
 
 
 def positive(c: Column | str) -> Column:
@@ -37,10 +46,13 @@ def nonzero(c: Column | str) -> Column:
 
 def clean_year(c: Column | str, max_year: int | Column | None = None) -> Column:
     """Year from 1000 up to ``max_year`` (this year by default), else null."""
+    return year_in_range(lenient_int(c), max_year)
+
+
+def year_in_range(year: Column | str, max_year: int | Column | None = None) -> Column:
     if max_year is None:
         max_year = F.year(F.current_date())
-    year = lenient_int(c)
-    return F.when(year.between(FIRST_YEAR, max_year), year.cast("int"))
+    return F.when(col(year).between(FIRST_YEAR, max_year), col(year).cast("int"))
 
 
 def minutes_seconds(c: Column | str) -> Column:

@@ -13,6 +13,28 @@ from catalogforge.sources.schema import TRACK_COLUMNS
 # Fixed value: tracks per chunk document.
 CHUNK_SIZE = 1000
 
+# Compiled columns read as whole numbers, those kept only above zero, and texts.
+POSITIVE = {
+    "Bit Rate": "bitRate",
+    "Sample Rate": "sampleRate",
+    "Track Number": "trackNumber",
+    "Track Count": "trackCount",
+    "Disc Number": "discNumber",
+    "Disc Count": "discCount",
+}
+NUMBERS = ("Year", "Size", "Time", "My Rating", "Volume Adjustment", *POSITIVE)
+TEXTS = {
+    "Composer": "composer",
+    "Grouping": "grouping",
+    "Last Played": "lastPlayed",
+    "Date Added": "dateAdded",
+    "Date Modified": "dateModified",
+    "Location": "location",
+    "Kind": "kind",
+    "Equalizer": "equalizer",
+    "Comments": "comments",
+}
+
 
 def clean_tracks(
     compiled: DataFrame, order: str = "seq", max_year: int | Column | None = None
@@ -22,45 +44,42 @@ def clean_tracks(
     Rows without a track name are dropped, and so are rows whose artist or album is
     all question marks. Missing artists and albums get a default name first.
     """
-    artist = C.or_default(C.clean_artist("Artist"), UNKNOWN_ARTIST)
-    album = C.or_default(C.clean_album("Album"), UNKNOWN_ALBUM)
-    named = (
-        compiled.filter(~C.is_blank("Name"))
-        .withColumns({"_artist": artist, "_album": album})
-        .filter(C.is_valid_name("_artist") & C.is_valid_name("_album"))
+    artist, album = C.clean_artist("Artist"), C.clean_album("Album")
+    named = compiled.filter(
+        ~C.is_blank("Name") & _not_questioned("Artist", artist) & _not_questioned("Album", album)
     )
     text, number = C.blank_to_null, C.lenient_int
-    duration = number("Time")
-    return named.select(
+    # Values used more than once are computed here, once.
+    once = named.select(
         C.strip("Name").alias("name"),
-        F.col("_artist").alias("artist"),
-        C.slug("_artist").alias("artistSlug"),
-        text("Composer").alias("composer"),
-        F.col("_album").alias("album"),
-        C.slug("_album").alias("albumSlug"),
-        text("Grouping").alias("grouping"),
+        C.or_default(artist, UNKNOWN_ARTIST).alias("artist"),
+        C.or_default(album, UNKNOWN_ALBUM).alias("album"),
         C.clean_genre("Genre").alias("genre"),
-        C.clean_year("Year", max_year).alias("year"),
-        number("Size").alias("size"),
-        duration.alias("duration"),
-        C.minutes_seconds(duration).alias("durationFormatted"),
-        C.positive(number("Bit Rate")).alias("bitRate"),
-        C.positive(number("Sample Rate")).alias("sampleRate"),
-        C.positive(number("Track Number")).alias("trackNumber"),
-        C.positive(number("Track Count")).alias("trackCount"),
-        C.positive(number("Disc Number")).alias("discNumber"),
-        C.positive(number("Disc Count")).alias("discCount"),
-        text("Last Played").alias("lastPlayed"),
-        number("My Rating").alias("rating"),
-        text("Date Added").alias("dateAdded"),
-        text("Date Modified").alias("dateModified"),
-        text("Location").alias("location"),
-        text("Kind").alias("kind"),
-        C.nonzero(number("Volume Adjustment")).alias("volumeAdjustment"),
-        text("Equalizer").alias("equalizer"),
-        text("Comments").alias("comments"),
+        *[number(column).alias(f"_{column}") for column in NUMBERS],
+        *[text(column).alias(name) for column, name in TEXTS.items()],
         F.col(order).alias("seq"),
     )
+    seen = {name: C.positive(f"_{column}") for column, name in POSITIVE.items()}
+    return once.withColumns(
+        {
+            "artistSlug": C.slug("artist"),
+            "albumSlug": C.slug("album"),
+            "year": C.year_in_range("_Year", max_year),
+            "size": F.col("_Size"),
+            "duration": F.col("_Time"),
+            "durationFormatted": C.minutes_seconds("_Time"),
+            **seen,
+            "rating": F.col("_My Rating"),
+            "volumeAdjustment": C.nonzero("_Volume Adjustment"),
+        }
+    ).select(*[c for c in TRACK_COLUMNS if c != "id"], "seq")
+
+
+def _not_questioned(raw: str, cleaned: Column) -> Column:
+    """Not all question marks. Only values with one in them are cleaned to find out;
+    a name that is missing gets a default later and so counts as valid."""
+    questioned = F.coalesce(F.contains(F.col(raw), F.lit("?")), F.lit(False))
+    return F.when(questioned, C.is_valid_name(cleaned) | (cleaned == "")).otherwise(True)
 
 
 def with_track_ids(tracks: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ def local_session(cpus: int | str = "*", **conf: object) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # Methods beyond this stay uncompiled in the JVM; wide projections then run
+        # faster outside whole-stage code, cut into small methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("catalogforge")

@@ -64,12 +64,26 @@ def discover_exports(
     """
     paths = _reader(spark, patterns, False).text(path).inputFiles()
     found = spark.createDataFrame([(p,) for p in paths], "uri string")
-    plain = _plain(F.col("uri"))
+    # Without a host part the index writes ``file:///``, scans write ``file:/``.
+    plain = _plain(F.regexp_replace("uri", "^([^:/]+):///", "$1:/"))
     return found.select(plain.alias("source_path"), _base_name(plain).alias("source_file")).filter(
         ~F.col("source_file").isin(list(excluded))
     )
 
 
+def file_sizes(
+    spark: SparkSession,
+    path: str,
+    patterns: Sequence[str] = PATTERNS,
+    excluded: Sequence[str] = EXCLUDED,
+) -> DataFrame:
+    """``source_path, length`` of every export that holds bytes; contents are not read."""
+    files = _reader(spark, patterns, True).format("binaryFile").load(path)
+    return files.filter(~F.col("_metadata.file_name").isin(list(excluded))).select(
+        _plain(F.col("_metadata.file_path")).alias("source_path"), "length"
+    )
+
+
 def read_lines(
     spark: SparkSession,
     path: str,
