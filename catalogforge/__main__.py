@@ -17,13 +17,20 @@ def main() -> None:
     parser.add_argument("--layout", choices=["positional", "by_width"], default="positional")
     parser.add_argument("--csv", action="store_true", help="also write the compiled table as CSV")
     parser.add_argument("--skip-unreadable", action="store_true")
+    parser.add_argument("--list-duplicates", action="store_true")
     parser.add_argument("--max-year", type=int)
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"catalogforge-{args.job}").getOrCreate()
     if args.job == "compile":
         compile.compile_exports(
-            spark, args.source, args.out, args.layout, args.csv, args.skip_unreadable
+            spark,
+            args.source,
+            args.out,
+            layout=args.layout,
+            csv=args.csv,
+            skip_unreadable=args.skip_unreadable,
+            list_duplicates=args.list_duplicates,
         )
     elif args.job == "build":
         compiled = spark.read.parquet(args.source)

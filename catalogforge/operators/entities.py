@@ -162,9 +162,9 @@ def _extract(pairs: DataFrame, entity: str, member: str) -> DataFrame:
     members = pairs.filter(F.col(member) != "").distinct()
     alone = (
         pairs.groupBy(entity)
-        .agg(F.max(member).alias(member))
-        .filter(F.col(member) == "")
-        .withColumn(member, F.lit(None).cast("string"))
+        .agg(F.bool_or(F.col(member) != "").alias("_any"))
+        .filter(~F.col("_any"))
+        .select(entity, F.lit(None).cast("string").alias(member))
     )
     return group_positions(members.unionByName(alone), [entity], [member])
 

@@ -20,23 +20,26 @@ from pyspark.sql import functions as F
 
 from catalogforge.session import stage
 
-# Rows per window partition in dense_sequence, and keys per block of its totals.
-RUN_BITS = 16
+# Keys per window partition in dense_sequence, and keys per block of its totals.
+RUN_BITS = 14
 BLOCK_BITS = 12
 
 # A side is broadcast only when its counted rows do not exceed this.
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged table for broadcast after counting it; else leave a shuffle join.
+def broadcast_if_small(
+    df: DataFrame, counted: DataFrame, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Mark ``df`` for broadcast if ``counted`` is small; else leave a shuffle join.
 
-    Meant for narrow tables read from files, whose count comes from file footers.
+    ``counted`` is a written table of as many rows as ``df``, so that its count comes
+    from file footers. Meant for narrow rows.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if counted.count() <= max_rows else df
 
 
-def _totals_before(counts: DataFrame, key: str, levels: int = 2) -> DataFrame:
+def _totals_before(counts: DataFrame, key: str, levels: int = 3) -> DataFrame:
     """``key, before``: the sum of ``n`` over all smaller keys.
 
     Summed within blocks of neighbouring keys first, then over the block totals, so

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from catalogforge.functions import is_blank, split_tabs, strip, strip_end, strip_start
 from catalogforge.operators.ordering import broadcast_if_small, global_positions
-from catalogforge.session import stage
 from catalogforge.sources.schema import (
     COLUMNS,
     COLUMNS_BY_WIDTH,
@@ -178,7 +177,7 @@ def unified_header(sources: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ParsedExports:
-    """``rows`` (lazy), with the small per-segment and per-source tables behind them."""
+    """``rows`` (lazy), and what is known of their segments (written) and sources."""
 
     rows: DataFrame
     segments: DataFrame
@@ -199,7 +198,7 @@ class ParsedExports:
         offset = F.col("seq").bitwiseAND((1 << OFFSET_BITS) - 1)
         return (
             keyed.withColumn("rank", F.shiftright("seq", OFFSET_BITS))
-            .join(segments, "rank")
+            .join(broadcast_if_small(segments, self.segments), "rank")
             .withColumn(LINE_NUMBER, F.col("_start") + offset)
             .drop("rank", "_start")
         )
@@ -214,7 +213,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
     files by their number of fields; ``"positional"`` always takes the default list.
     """
     segments = measure_segments(lines)
-    sources = stage(describe_sources(segments, layout), "sources")
+    sources = describe_sources(segments, layout)
 
     # Everything a line needs to know about its file, one row per segment.
     header = F.col("header")
@@ -223,7 +222,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
             F.filter(header, lambda n: ~n.isin(list(COLUMNS + LINEAGE)))
         )
     )
-    keys = stage(
+    keys = (
         _numbered(segments)
         .join(
             sources.select(
@@ -252,8 +251,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
             F.shiftleft("rank", OFFSET_BITS).alias("first_seq"),
             "first_pos",
             "n_lines",
-        ),
-        "layouts",
+        )
     )
 
     # A line outside its measured segment means the input changed between the scans.
@@ -286,7 +284,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
     )
     rows = (
         lines.filter(~is_blank("line"))
-        .join(broadcast_if_small(keys), ["source_path", "segment"], "left")
+        .join(broadcast_if_small(keys, segments), ["source_path", "segment"], "left")
         .withColumn("seq", seq)
         .withColumn(LINE_NUMBER, line_no)
         .filter(F.coalesce(~(first & (F.col("parse_format") == SEPARATE_HEADER)), F.lit(True)))

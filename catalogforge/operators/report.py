@@ -46,18 +46,14 @@ def run_statistics(files: DataFrame, deduped: DataFrame) -> DataFrame:
 
     ``deduped`` is the result of ``dedup_first``, whose ``copies`` add up to all rows.
     """
-    of_files = files.agg(
-        F.count(F.lit(1)).alias("files_processed"),
-        F.count_if(F.col("n_rows") == 0).alias("empty_files"),
-    )
     of_rows = deduped.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("unique_rows"),
     )
-    both = of_files.withColumn("_one", F.lit(1)).join(of_rows.withColumn("_one", F.lit(1)), "_one")
-    return both.select(
-        "files_processed",
-        "empty_files",
+    empty = files.agg(F.count_if(F.col("n_rows") == 0))
+    return of_rows.select(
+        files.agg(F.count(F.lit(1))).scalar().alias("files_processed"),
+        empty.scalar().alias("empty_files"),
         "total_rows",
         (F.col("total_rows") - F.col("unique_rows")).alias("duplicates_removed"),
         "unique_rows",
@@ -78,10 +74,9 @@ def require_rows(deduped: DataFrame) -> DataFrame:
 
 def reconcile(files: DataFrame, stats: DataFrame) -> DataFrame:
     """``expected_rows, total_rows, balanced``: do the file counts match the rows?"""
-    expected = files.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("expected_rows"))
-    both = expected.withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one")
+    expected = files.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
     parts = F.col("unique_rows") + F.col("duplicates_removed")
-    return both.select(
+    return stats.withColumn("expected_rows", expected).select(
         "expected_rows",
         "total_rows",
         "unique_rows",

@@ -29,6 +29,11 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
     )
 
 
+def best_matches(found: DataFrame, key: str, top: int = 10) -> DataFrame:
+    """The ``top`` texts of a search: most terms matched, then most hits."""
+    return found.orderBy(F.desc("matched"), F.desc("hits"), key).limit(top)
+
+
 def keyword_search(postings: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
     """``<key>, matched, hits``: texts with any of ``terms``, and how many they match."""
     wanted = sorted({t.lower() for t in terms})

@@ -17,13 +17,14 @@ def compile_exports(
     layout: str = "positional",
     csv: bool = False,
     skip_unreadable: bool = False,
+    list_duplicates: bool = False,
 ) -> DataFrame:
     """Read, align and dedup every export below ``path``; write tables below ``out``.
 
     ``compiled`` holds the unique rows with lineage, ``seq`` and their number of
-    ``copies``; ``duplicates`` lists the rows removed; ``report_*`` say what was
-    found. With ``csv`` the table is also written as CSV under the unified header.
-    Fails if there are no rows at all.
+    ``copies``; ``report_*`` say what was found. With ``csv`` the table is also
+    written as CSV under the unified header, and with ``list_duplicates`` the removed
+    rows are listed, at the price of one more scan. Fails if there are no rows at all.
     """
     lines = exports.read_lines(spark, path, skip_unreadable=skip_unreadable)
     run = parsing.parse_lines(lines, layout)
@@ -39,13 +40,11 @@ def compile_exports(
     kept.write.parquet(f"{out}/compiled")
     compiled = report.require_rows(spark.read.parquet(f"{out}/compiled"))
 
-    removed = run.rows.join(compiled.select("seq"), "seq", "left_anti").select(
-        F.col("Name").alias("name"),
-        F.col("Artist").alias("artist"),
-        *LINEAGE,
-        "source_path",
-    )
-    removed.write.parquet(f"{out}/duplicates")
+    if list_duplicates:
+        removed = run.rows.join(compiled.select("seq"), "seq", "left_anti").select(
+            F.col("Name").alias("name"), F.col("Artist").alias("artist"), *LINEAGE, "source_path"
+        )
+        removed.write.parquet(f"{out}/duplicates")
 
     stats = report.run_statistics(files, compiled)
     report.reconcile(files, stats).write.parquet(f"{out}/report_balance")

@@ -22,6 +22,8 @@ def local_session(cpus: int | str = "*", **conf: object) -> SparkSession:
         # Methods beyond this stay uncompiled in the JVM; wide projections then run
         # faster outside whole-stage code, cut into small methods.
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Skip recording a Python stack for every column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("catalogforge")
@@ -36,7 +38,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that every executor shares.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a ``local[...]``
-    session may leave it unset; it then gets a temporary folder of its own.
+    session may leave it unset; it then gets a temporary folder of its own. All paths
+    of an application share one subfolder, to be dropped when its work is done.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -46,7 +49,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         root = _local_roots.setdefault(app, "")
         if not root:
             root = _local_roots[app] = tempfile.mkdtemp(prefix="spark-catalogforge-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -32,20 +32,27 @@ def _rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+# Types that hold the same values in both engines.
+SAME_TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, sf_dir: str) -> str:
     """An empty string if both engines agree, else what differs."""
     df = QUERIES[name](spark, sf_dir)
-    got = _rows(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
+    have = sorted((c, SAME_TYPES.get(t, t)) for c, t in df.dtypes)
+    need = sorted((d[0], str(d[1])) for d in cur.description)
     want = _rows(columns, cur.fetchall())
-    if sorted(df.columns) != sorted(columns):
-        return f"columns {sorted(df.columns)} != {sorted(columns)}"
-    kinds = {f"{type(a).__name__}/{type(b).__name__}" for g, w in zip(got, want, strict=False)
-             for a, b in zip(g, w, strict=True) if type(a) is not type(b)}
+    if have != need:
+        return f"schema {sorted(set(have) - set(need))} != {sorted(set(need) - set(have))}"
+    got = _rows(df.columns, [tuple(r) for r in df.collect()])
     if got != want:
         diff = next(((g, w) for g, w in zip(got, want, strict=False) if g != w), None)
-        return f"rows {len(got)} != {len(want)}; first difference {diff}; kinds {kinds}"
+        return f"rows {len(got)} != {len(want)}; first difference {diff}"
     return ""
 
 

@@ -370,13 +370,23 @@ FROM (SELECT *, {PLACE} AS position FROM {view}) i JOIN members m ON i.slug = m.
 GROUP BY ALL"""
 
 
-STATS = """SELECT count(*) AS "totalTracks", count(DISTINCT "artistSlug") AS "totalArtists",
+
+
+def hours_minutes(seconds: str) -> str:
+    """In floating point throughout, as the rule has it: 41640 s are ``11h 33m``."""
+    h = f"(CAST({seconds} AS DOUBLE) / CAST(3600 AS DOUBLE))"
+    return (
+        f"CAST(floor({h}) AS BIGINT) || 'h ' || CAST(floor(({h} - floor({h})) * 60) AS BIGINT)"
+        " || 'm'"
+    )
+
+
+STATS = f"""SELECT count(*) AS "totalTracks", count(DISTINCT "artistSlug") AS "totalArtists",
     count(DISTINCT "albumSlug") AS "totalAlbums", CAST(sum("size") AS BIGINT) AS "totalSizeBytes",
     round(sum("size") / 1073741824.0, 2) AS "totalSizeGB",
     CAST(sum(duration) AS BIGINT) AS "totalDurationSeconds",
     round(sum(duration) / 3600.0, 1) AS "totalDurationHours",
-    (sum(duration) // 3600) || 'h ' || (sum(duration) % 3600 // 60) || 'm'
-        AS "totalDurationFormatted",
+    {hours_minutes("sum(duration)")} AS "totalDurationFormatted",
     round(avg("bitRate"), 1) AS "avgBitRate", count(*) FILTER (rating > 0) AS "tracksWithRating"
 FROM tracks"""
 
@@ -649,7 +659,7 @@ ORACLES: dict[str, str] = {
         SELECT seq, CASE WHEN v > 0 THEN v END AS above_zero, nullif(v, 0) AS not_zero FROM v""",
     "h11_size_and_hours": f"""WITH {TRACKS}, {TOTALS} SELECT "artistSlug",
             round(bytes / 1073741824.0, 2) AS gb, round(seconds / 3600.0, 1) AS hours,
-            (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm' AS hours_minutes
+            {hours_minutes("seconds")} AS hours_minutes
         FROM totals""",
     "h12_whole_days": f"""WITH {TRACKS}, {TOTALS} SELECT "artistSlug",
         CAST(round(seconds / 86400.0) AS BIGINT) AS days FROM totals""",
@@ -676,6 +686,9 @@ ORACLES: dict[str, str] = {
     "t1_keyword_search": f"""WITH {POSTINGS} SELECT doc_id, count(*) AS matched,
         CAST(sum(hits) AS BIGINT) AS hits FROM postings WHERE term IN ('the', 'of', 'la')
         GROUP BY doc_id""",
+    "t1_best_matches": f"""WITH {POSTINGS} SELECT doc_id, count(*) AS matched,
+        CAST(sum(hits) AS BIGINT) AS hits FROM postings WHERE term IN ('the', 'of', 'la')
+        GROUP BY doc_id ORDER BY matched DESC, hits DESC, doc_id LIMIT 10""",
     "q1_require_rows": f"WITH {parse()}, {DEDUPED} SELECT {_UNIQUE} AS unique_rows",
     "q2_reconcile": f"""WITH {parse()}, {DEDUPED}
         SELECT (SELECT CAST(sum(n_rows) AS BIGINT) FROM sources) AS expected_rows,

@@ -816,6 +816,13 @@ def t1_keyword_search(spark, sf):
     return search.keyword_search(postings, "doc_id", TERMS)
 
 
+@query
+def t1_best_matches(spark, sf):
+    docs = table(spark, sf, "documents")
+    postings = search.keyword_postings(docs, "doc_id", "text")
+    return search.best_matches(search.keyword_search(postings, "doc_id", TERMS), "doc_id")
+
+
 @query
 def q1_require_rows(spark, sf):
     run = parsed(spark, sf)

@@ -302,6 +302,8 @@ def test_search(spark):
     }
     got = search.keyword_search(postings, "id", ["Rain", "end", "rain"]).collect()
     assert {(r.id, r.matched, r.hits) for r in got} == {(1, 1, 2), (2, 2, 2)}
+    [best] = search.best_matches(search.keyword_search(postings, "id", ["rain"]), "id", 1).collect()
+    assert best.id == 1
     freq = {r.term: (r.texts, r.hits) for r in search.term_frequencies(postings).collect()}
     assert freq["rain"] == (2, 3)
 

@@ -141,7 +141,7 @@ def test_parse_split_files(spark, tmp_path):
 
 
 def test_shuffle_join_gives_the_same(spark, folder, monkeypatch):
-    monkeypatch.setattr(parsing, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(parsing, "broadcast_if_small", lambda df, counted: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         run = parsing.parse_lines(exports.read_lines(spark, str(folder)))
@@ -185,7 +185,7 @@ def test_reports(spark, folder):
 
 def test_compile(spark, folder, tmp_path):
     out = str(tmp_path / "out")
-    compiled = compile_exports(spark, str(folder), out, csv=True, skip_unreadable=True)
+    compiled = compile_exports(spark, str(folder), out, csv=True, skip_unreadable=True, list_duplicates=True)
     rows, _ = brute(folder)
     first = {}
     for key, number, values in rows:
