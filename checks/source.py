@@ -152,4 +152,4 @@ def export_lines(spark: SparkSession, sf_dir: str, layout: str = "mixed") -> Dat
         F.posexplode(F.when(F.col("at") == 1, first).otherwise(later)).alias("part", "line"),
     )
     line_no = F.row_number().over(Window.partitionBy("source_path").orderBy("seq", "part"))
-    return lines.select("source_path", line_no.alias("line_no"), "line")
+    return lines.select("source_path", line_no.cast("bigint").alias("line_no"), "line")
