@@ -22,7 +22,10 @@ from catalogforge.session import stage
 
 # Keys per window partition in dense_sequence, and keys per block of its totals.
 RUN_BITS = 14
-BLOCK_BITS = 12
+BLOCK_BITS = 16
+
+# monotonically_increasing_id keeps the partition above this bit.
+PARTITION_SHIFT = 33
 
 # A side is broadcast only when its counted rows do not exceed this.
 BROADCAST_ROWS = 500_000
@@ -39,7 +42,7 @@ def broadcast_if_small(
     return F.broadcast(df) if counted.count() <= max_rows else df
 
 
-def _totals_before(counts: DataFrame, key: str, levels: int = 3) -> DataFrame:
+def _totals_before(counts: DataFrame, key: str, levels: int = 2) -> DataFrame:
     """``key, before``: the sum of ``n`` over all smaller keys.
 
     Summed within blocks of neighbouring keys first, then over the block totals, so
@@ -84,21 +87,22 @@ def global_positions(
     """Add ``name``: the 1-based place of each row in ``order``, which must be total.
 
     The rows are range-partitioned and sorted once and written with their partition
-    and row number. Offsets are one row per written partition, so broadcasting them
-    is bounded by the number of partitions.
+    and row number. Offsets are one row per written partition, so summing them in one
+    task and broadcasting them is bounded by the number of partitions.
     """
     row = F.monotonically_increasing_id()
     sorted_rows = stage(df.orderBy(*order).withColumn("_row", row), "sorted")
-    part = F.shiftright("_row", 33).alias("_part")
-    sizes = sorted_rows.groupBy(part).agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n")
+    parted = sorted_rows.withColumn("_part", F.shiftright("_row", PARTITION_SHIFT))
+    sizes = parted.groupBy("_part").agg(
+        F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    offsets = sizes.join(_totals_before(sizes.select("_part", "n"), "_part", 0), "_part")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1
+    offsets = sizes.select("_part", shift.alias("_shift"))
     return (
-        sorted_rows.withColumn("_part", F.shiftright("_row", 33))
-        .join(F.broadcast(offsets.select("_part", "_first", "before")), "_part")
-        .withColumn(name, F.col("before") + F.col("_row") - F.col("_first") + 1)
-        .drop("_part", "_row", "_first", "before")
+        parted.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_row") + F.col("_shift"))
+        .drop("_part", "_row", "_shift")
     )
 
 
