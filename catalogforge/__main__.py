@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m catalogforge compile|build|listings|extract IN OUT``."""
+"""Command line: ``python -m catalogforge compile|build|listings|extract IN OUT``."""
 
 from __future__ import annotations
 
