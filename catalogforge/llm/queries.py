@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogforge.llm import bpe, simhash, token_files, warc
+from catalogforge.llm import bpe, langid, simhash, token_files, warc
 from catalogforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
