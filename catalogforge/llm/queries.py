@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogforge.llm import bpe, langid, simhash, token_files, warc
+from catalogforge.llm import bpe, langid, merkle, simhash, token_files, warc
 from catalogforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,18 @@ def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = merkle.with_next(table(spark, sf_dir, "documents"))
+    printed = pairs.withColumn("edited_fp", merkle.fingerprint("edited"))
+    return printed.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("fp").alias("fingerprint"),
+        F.col("edited_fp").alias("edited_fingerprint"),
+        merkle.likeness("fp", "edited_fp").alias("near_edited"),
+        merkle.likeness("fp", "next_fp").alias("near_next"),
+    )
