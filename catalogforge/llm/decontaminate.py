@@ -54,15 +54,15 @@ def _core(word: Column) -> Column:
     return F.rtrim(word, F.lit(_TRAILING))
 
 
-def template(column: str) -> Column:
-    """The words of the array ``column``, lower-cased or replaced by typed placeholders.
+def template(every: Column) -> Column:
+    """The words of an array, lower-cased or replaced by typed placeholders.
 
     A capitalised word is a name unless it opens the text or a sentence.
     """
 
-    def canonical(word: Column, i: Column) -> Column:
+    def canonical(around: Column, word: Column, i: Column) -> Column:
         core = _core(word)
-        before = F.when(i > 0, F.get(F.col(column), i - 1))
+        before = F.when(i > 0, F.get(around, i - 1))
         digit = (core >= "0") & (core < ":")
         unit = "|".join(UNITS)
         number = (
@@ -80,7 +80,11 @@ def template(column: str) -> Column:
             .otherwise(F.lower(core))
         )
 
-    return F.transform(F.col(column), canonical)
+    # Bound as a variable, so that looking at a neighbour does not split the text again.
+    bound = F.transform(
+        F.array(every), lambda around: F.transform(around, lambda w, i: canonical(around, w, i))
+    )
+    return F.get(bound, F.lit(0))
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -112,7 +116,7 @@ def _window_text() -> Column:
 def templated(rows: DataFrame) -> DataFrame:
     """``rows`` with ``words`` and ``canon`` in place of ``text``."""
     split = rows.withColumn("words", words("text")).drop("text")
-    return split.withColumn("canon", template("words"))
+    return split.withColumn("canon", template(F.col("words")))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
