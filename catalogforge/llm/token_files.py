@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogforge.llm.bpe import Cache, pieces, vocabulary_path
+from catalogforge.llm.bpe import PATTERN, Cache, pieces, vocabulary_path
 from catalogforge.llm.common import slices, texts
 
 END_ID = 0
@@ -45,13 +47,13 @@ LAYOUT = {
 }
 
 SLICE = 4 << 20
-PIECES = 600_000
+WORDS, PIECES = 1_000_000, 300_000
 
 _tokenizers: dict[str, Tokenizing] = {}
 
 
 class Tokenizing:
-    """The tokenizers library behind a bounded cache of pieces between blanks."""
+    """The tokenizers library behind bounded caches of words and of pieces between blanks."""
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,24 +62,25 @@ class Tokenizing:
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
-        added = self.library.get_added_tokens_decoder().values()
-        self.stops = [t.content for t in added]
-        self.later = Cache(lambda p: self.whole(" " + p), PIECES)
+        self.stops = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        split = regex.compile(PATTERN).findall
+        words = Cache(self.whole, WORDS).__getitem__
+        self.first = lambda p: b"".join(map(words, split(p)))
+        self.later = Cache(lambda p: self.first(" " + p), PIECES)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers.
 
-        A byte-level pre-token never crosses a blank before a non-blank, so pieces
-        encode alone, unless the text holds the string of an added token.
+        A byte-level pre-token encodes alone, and none crosses a blank before a
+        non-blank. A text with the string of an added token goes to the library whole.
         """
         if any(s in text for s in self.stops):
             return self.whole(text)
         parts = pieces(text)
-        head = self.whole(parts[0]) if parts[0] else b""
-        return head + b"".join(map(self.later.__getitem__, parts[1:]))
+        return self.first(parts[0]) + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 def _tokenizing(source: str) -> Tokenizing:
