@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Words and pieces remembered by a worker, and bytes of text taken at a time.
-WORDS, PIECES = 1_000_000, 300_000
+WORDS, PIECES = 450_000, 200_000
 SLICE = 4 << 20
 # More than the number of tokens.
 SPAN = 1 << 31
@@ -243,7 +243,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(source.value)
-        for batch in batches:
+        for batch in slices(batches, "ids", SLICE):
             ids = batch.column(1)
             ends = ids.offsets.to_numpy()
             values = ids.values.to_numpy(zero_copy_only=False)

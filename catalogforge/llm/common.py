@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``limit`` bytes in each, one row at least."""
+    """The batches cut so that ``column`` (text, bytes or lists of 32-bit numbers) holds about
+    ``limit`` bytes in each, one row at least."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         start, size = 0, 0
@@ -62,9 +64,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
 
 
 def byte_lengths(values: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(values).to_pylist()
+    if pa.types.is_list(values.type):
+        return [4 * (n or 0) for n in pc.list_value_length(values).to_pylist()]
+    return [n or 0 for n in pc.binary_length(values).to_pylist()]
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
