@@ -207,3 +207,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         "item_id",
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs``, all columns, into which no item has leaked."""
+    found = leaks(docs, benchmark, coverage).select("doc_id", "th").distinct()
+    found = stage(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "leaks")
+    rows = docs.select(F.struct("*").alias("row"))
+    mine = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = mine & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("_th"))
+    return rows.join(found, same, "left_anti").select("row.*")

@@ -421,6 +421,8 @@ def mask(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of its ``text`` masked; null texts stay null, other columns as they are."""
     model = learn(candidates(docs.select("text")))
-    found = candidates(docs).withColumn("_spans", accepted(model))
+    wrapped = docs.select(F.struct("*").alias("row"), "text")
+    found = candidates(wrapped).withColumn("_spans", accepted(model))
     hit = F.when(F.size("_spans") > 0, mask(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", hit).drop("_base", "_proposed", "_spans")
+    columns = [F.col("row").getField(c).alias(c) if c != "text" else hit.alias(c) for c in docs.columns]
+    return found.select(*columns)

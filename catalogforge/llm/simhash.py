@@ -55,7 +55,11 @@ def _fingerprint(text: bytes, shingle: int) -> np.uint64:
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(grams))
+    return of_hashes(np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(grams)))
+
+
+def of_hashes(hashes: np.ndarray) -> np.uint64:
+    """The bits set in more than half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
