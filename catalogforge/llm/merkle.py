@@ -153,22 +153,23 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.pmod(F.col("p") + 1, turn).alias("p"),
     )
     asked = at.select("key", F.pmod("p", turn).alias("p")).join(before, "p").drop("p")
-    # The same columns feed both joins, so one shuffle of the texts serves both.
-    printed = rows.select("key", "text", fingerprint("text").alias("fp"))
-    sent = printed.join(asked.hint("shuffle_hash"), "key").select(
+    # The same columns feed both joins, so one shuffle of the texts serves both. Each side
+    # prints its own fingerprints after it, which is cheaper than to move them.
+    plain = rows.select("key", "text")
+    sent = plain.join(asked.hint("shuffle_hash"), "key").select(
         F.col("for_key").alias("key"),
         "doc_id",
         F.left("text", F.col("wanted")).alias("start"),
-        F.col("fp").alias("next_fp"),
+        fingerprint("text").alias("next_fp"),
     )
     if (copies or 1) > 1:
         # A document that repeats has sent as many equal rows.
         sent = sent.dropDuplicates(["key"])
-    return printed.join(sent, "key").select(
+    return plain.join(sent, "key").select(
         "doc_id",
         "text",
         F.char_length("text").cast("long").alias("n_chars"),
-        "fp",
+        fingerprint("text").alias("fp"),
         edited(F.col("text"), F.col("start")).alias("edited"),
         "next_fp",
     )
