@@ -15,6 +15,7 @@ from catalogforge.llm import (
     pii,
     quality,
     simhash,
+    suffix,
     token_files,
     warc,
 )
@@ -109,3 +110,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
