@@ -88,29 +88,44 @@ def template(every: Column) -> Column:
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """A row for each window: ``pos``, ``len`` and the hash ``h``, beside what ``rows`` has."""
+    """A row for each window: ``pos``, ``len`` and the hash ``h``, beside what ``rows`` has
+    but its words, which would be copied into every row."""
     out = None
     for length in lengths:
         last = F.size("canon") - length
-        placed = rows.filter(last >= 0).withColumn("pos", F.explode(F.sequence(F.lit(0), last)))
+        # Outer, as Spark would work the words out once more to filter rows before a plain one.
+        places = F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))
         inside = [F.get("canon", F.col("pos") + i) for i in range(length)]
-        part = placed.withColumns({"len": F.lit(length), "h": F.xxhash64(F.lit(length), *inside)})
+        kept = [c for c in rows.columns if c not in ("words", "canon")]
+        part = rows.withColumn("pos", places).select(
+            *kept, "pos", F.lit(length).alias("len"), F.xxhash64(F.lit(length), *inside).alias("h")
+        )
+        part = part.filter(F.col("pos").isNotNull())
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _slots() -> Column:
-    """What fills the placeholders of a window, as ``kind=filler`` in order."""
-    near = F.arrays_zip(
-        F.slice("canon", F.col("pos") + 1, F.col("len")).alias("c"),
-        F.slice("words", F.col("pos") + 1, F.col("len")).alias("w"),
-    )
-    filled = F.filter(near, lambda x: x["c"].startswith("<"))
-    return F.transform(filled, lambda x: F.concat(x["c"], F.lit("="), F.lower(_core(x["w"]))))
-
+def _filled(rows: DataFrame) -> DataFrame:
+    """A row for each of ``spots`` (pos, len) of the words: ``w_text``, and ``w_slots``, what
+    fills the placeholders, as ``kind=filler`` in order."""
+
+    def of(both: Column, spot: Column) -> Column:
+        c = F.slice(both["c"], spot["pos"] + 1, spot["len"])
+        w = F.slice(both["w"], spot["pos"] + 1, spot["len"])
+        filler = F.zip_with(c, w, lambda k, x: F.when(k.startswith("<"), F.concat(k, F.lit("="), F.lower(_core(x)))))
+        return F.struct(
+            spot["pos"].alias("pos"),
+            spot["len"].alias("len"),
+            F.array_join(c, " ").alias("w_text"),
+            F.filter(filler, lambda x: x.isNotNull()).alias("w_slots"),
+            F.size(F.filter(c, lambda x: ~x.startswith("<"))).alias("w_plain"),
+        )
 
-def _window_text() -> Column:
-    return F.array_join(F.slice("canon", F.col("pos") + 1, F.col("len")), " ")
+    both = F.array(F.struct(F.col("canon").alias("c"), F.col("words").alias("w")))
+    bound = F.transform(both, lambda b: F.transform("spots", lambda s: of(b, s)))
+    kept = [c for c in rows.columns if c not in ("words", "canon", "spots")]
+    narrow = rows.select(*kept, F.get(bound, F.lit(0)).alias("found"))
+    return narrow.select(*kept, F.explode_outer("found").alias("f")).select(*kept, "f.*")
 
 
 def templated(rows: DataFrame) -> DataFrame:
@@ -120,49 +135,51 @@ def templated(rows: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """The windows of the items: ``h, item_id, item, n, i_pos, i_len, i_text, i_slots``."""
+    """The windows of the items: ``h, item_id, item, n, i_pos, len, i_text, i_slots``."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.xxhash64("text").alias("item"),
     ).distinct()
+    length = F.least(F.size("canon"), F.lit(WINDOW))
+    spots = F.transform(
+        F.sequence(F.lit(0), F.size("canon") - length),
+        lambda i: F.struct(i.alias("pos"), length.alias("len")),
+    )
     canon = templated(items).withColumn("n", F.size("canon")).filter("n > 0")
-    short = [r.n for r in canon.filter(F.col("n") < WINDOW).select("n").distinct().collect()]
-    found = [_windows(canon.filter(F.col("n") == n), [n]) for n in sorted(short)]
-    every = _windows(canon.filter(F.col("n") >= WINDOW), [WINDOW])
-    for part in found:
-        every = every.unionByName(part)
-    plain = F.size(F.filter(F.slice("canon", F.col("pos") + 1, F.col("len")), lambda c: ~c.startswith("<")))
-    kept = every.filter(plain >= F.least(F.lit(LITERALS), F.col("len")))
+    every = _filled(canon.withColumn("spots", spots))
+    kept = every.filter(F.col("w_plain") >= F.least(F.lit(LITERALS), F.col("len")))
+    # As ``_windows`` hashes the words of a window, one by one after their number.
+    hashed = None
+    for n in range(1, WINDOW + 1):
+        word = F.split("w_text", " ")
+        h = F.xxhash64(F.lit(n), *[F.get(word, F.lit(i)) for i in range(n)])
+        hashed = F.when(F.col("len") == n, h) if hashed is None else hashed.when(F.col("len") == n, h)
     return kept.select(
-        "h", "item_id", "item", "n", F.col("pos").alias("i_pos"), F.col("len").alias("i_len"),
-        _window_text().alias("i_text"), _slots().alias("i_slots"),
+        hashed.alias("h"), "item_id", "item", "n", F.col("pos").alias("i_pos"), "len",
+        F.col("w_text").alias("i_text"), F.col("w_slots").alias("i_slots"),
     )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``doc_id, th, item_id, coverage``: items leaked into documents.
-
-    ``th`` is ``xxhash64`` of the text, to tell documents of one id apart.
-    """
+    """``key, item_id, coverage``: items leaked into documents; ``key`` as ``document_key``."""
     bench = stage(benchmark_windows(benchmark), "benchmark-windows")
-    size, lengths = bench.agg(F.count("*"), F.collect_set("i_len")).first()
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    size, lengths = bench.agg(F.count("*"), F.collect_set("len")).first()
+    rows = texts(docs).select(document_key().alias("key"), "text")
     spread = _windows(templated(rows), sorted(lengths) or [WINDOW])
-    narrow = ["doc_id", "th", "pos", "h", _window_text().alias("d_text"), _slots().alias("d_slots")]
-    kept = ["item_id", "item", "n", "i_pos", "i_len", "i_text", "i_slots"]
-    if size <= BROADCAST_WINDOWS:
-        met = spread.join(F.broadcast(bench), "h").select(*narrow, *kept)
-    else:
-        met = spread.select(*narrow).join(bench, "h")
-    met = met.filter(F.col("d_text") == F.col("i_text"))
-    pairs = F.zip_with("i_slots", "d_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    small = F.broadcast(bench) if size <= BROADCAST_WINDOWS else bench
+    met = stage(spread.join(small.withColumnRenamed("len", "i_len"), "h").filter("len = i_len"), "leak-windows")
+    # The words of a document are worked out again where it has matches, once for all of them.
+    spots = met.groupBy("key").agg(F.collect_set(F.struct("pos", "len")).alias("spots"))
+    filled = _filled(templated(rows.join(spots, "key"))).distinct()
+    met = met.join(filled, ["key", "pos", "len"]).filter(F.col("w_text") == F.col("i_text"))
+    pairs = F.zip_with("i_slots", "w_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     lined = met.select(
-        "doc_id", "th", "item_id", "item", "n", (F.col("pos") - F.col("i_pos")).alias("line"),
-        F.struct("i_pos", "i_len").alias("at"), pairs.alias("pairs"),
+        "key", "item_id", "item", "n", (F.col("pos") - F.col("i_pos")).alias("line"),
+        F.struct("i_pos", "len").alias("at"), pairs.alias("pairs"),
     )
     # Both sets are bounded by the length of the item.
-    line = lined.groupBy("doc_id", "th", "item_id", "item", "n", "line").agg(
+    line = lined.groupBy("key", "item_id", "item", "n", "line").agg(
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     fillers = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
@@ -170,18 +187,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     covered = F.flatten(
         F.transform(
             F.flatten(F.collect_set("ats")),
-            lambda x: F.sequence(x["i_pos"], x["i_pos"] + x["i_len"] - 1),
+            lambda x: F.sequence(x["i_pos"], x["i_pos"] + x["len"] - 1),
         )
     )
     share = F.size(F.array_distinct(covered)) / F.col("n")
-    whole = fair.groupBy("doc_id", "th", "item_id", "item", "n").agg(share.alias("coverage"))
+    whole = fair.groupBy("key", "item_id", "item", "n").agg(share.alias("coverage"))
     return (
         whole.filter(F.col("coverage") >= coverage)
-        .groupBy("doc_id", "th", "item_id")
+        .groupBy("key", "item_id")
         .agg(F.max("coverage").alias("coverage"))
     )
 
 
+def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A hash that tells documents apart, also those of one id."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, contaminated, n_items, item_id, coverage`` of every row of ``docs``.
 
@@ -190,19 +212,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     best = F.struct(-F.col("coverage"), "item_id")
     found = stage(
         leaks(docs, benchmark, coverage)
-        .groupBy("doc_id", "th")
+        .groupBy("key")
         .agg(
             F.count("*").alias("n_items"),
             F.min(best).getField("item_id").alias("item_id"),
             F.max("coverage").alias("coverage"),
         ),
         "leaks",
-    ).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_items", "item_id", "coverage")
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("th"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    return rows.join(found, same, "left").select(
+    )
+    rows = texts(docs).select("doc_id", document_key().alias("key"))
+    return rows.join(found, "key", "left").select(
         "doc_id",
-        F.col("_th").isNotNull().alias("contaminated"),
+        F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         "item_id",
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
@@ -211,9 +232,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, all columns, into which no item has leaked."""
-    found = leaks(docs, benchmark, coverage).select("doc_id", "th").distinct()
-    found = stage(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "leaks")
-    rows = docs.select(F.struct("*").alias("row"))
-    mine = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id"))
-    same = mine & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("_th"))
-    return rows.join(found, same, "left_anti").select("row.*")
+    found = stage(leaks(docs, benchmark, coverage).select("key").distinct(), "leaks")
+    rows = docs.select(F.struct("*").alias("row"), document_key().alias("key"))
+    return rows.join(found, "key", "left_anti").select("row.*")
