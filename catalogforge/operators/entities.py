@@ -120,31 +120,30 @@ def collection_stats(tracks: DataFrame) -> DataFrame:
 
 
 def metadata_document(
-    stats: DataFrame, genres: DataFrame, years: DataFrame, max_values: int = 100_000
+    stats: DataFrame, genres: DataFrame, years: DataFrame, part_size: int = MEMBERS_PER_PART
 ) -> DataFrame:
-    """The one-row metadata document: totals, facet lists, nested ``stats``.
+    """The metadata document: totals, facet lists, nested ``stats``.
 
-    Years are bounded by their range. Genres are free text, so their list is built
-    only up to ``max_values``; beyond that this fails and the facet table is the
-    answer.
+    Years are bounded by their range. Genres are free text, so their list continues in
+    further parts, each of which repeats the rest.
     """
-    # The facet rows are a shared-folder table, so this count reads footers only.
-    n = genres.count()
-    if n > max_values:
-        raise ValueError(f"{n} genres do not fit one document; use facet_values")
-
-    def values(facet: DataFrame, name: str) -> Column:
-        pairs = F.collect_list(F.struct("position", name))
-        return facet.agg(
-            F.transform(F.array_sort(pairs), lambda p: p[name]).alias(name)
-        ).scalar()
-
-    return stats.select(
+    of_part = (F.floor((F.col("position") - 1) / part_size) + 1).cast("int")
+    lists = (
+        genres.groupBy(of_part.alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", "genre"))).alias("_pairs"))
+        .select("part", F.transform("_pairs", lambda p: p["genre"]).alias("genres"))
+    )
+    last = F.coalesce(genres.agg(F.max(of_part)).scalar(), F.lit(1))
+    pairs = F.array_sort(F.collect_list(F.struct("position", "year")))
+    all_years = years.agg(F.transform(pairs, lambda p: p["year"]).alias("years")).scalar()
+    parts = stats.withColumn("part", F.explode(F.sequence(F.lit(1), last)))
+    return parts.join(lists, "part", "left").select(
+        "part",
         "totalTracks",
         "totalArtists",
         "totalAlbums",
-        values(genres, "genre").alias("genres"),
-        values(years, "year").alias("years"),
+        F.coalesce("genres", F.array().cast("array<string>")).alias("genres"),
+        all_years.alias("years"),
         F.struct(
             "totalSizeBytes",
             "totalSizeGB",

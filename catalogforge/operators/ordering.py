@@ -27,20 +27,6 @@ BLOCK_BITS = 16
 # monotonically_increasing_id keeps the partition above this bit.
 PARTITION_SHIFT = 33
 
-# A side is broadcast only when its counted rows do not exceed this.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(
-    df: DataFrame, counted: DataFrame, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Mark ``df`` for broadcast if ``counted`` is small; else leave a shuffle join.
-
-    ``counted`` is a written table of as many rows as ``df``, so that its count comes
-    from file footers. Meant for narrow rows.
-    """
-    return F.broadcast(df) if counted.count() <= max_rows else df
-
 
 def _totals_before(counts: DataFrame, key: str, levels: int = 2) -> DataFrame:
     """``key, before``: the sum of ``n`` over all smaller keys.

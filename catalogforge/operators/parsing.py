@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogforge.functions import is_blank, split_tabs, strip, strip_end, strip_start
-from catalogforge.operators.ordering import broadcast_if_small, global_positions
+from catalogforge.operators.ordering import global_positions
+from catalogforge.session import stage
 from catalogforge.sources.schema import (
     COLUMNS,
     COLUMNS_BY_WIDTH,
@@ -34,9 +35,9 @@ from catalogforge.sources.schema import (
     SOURCE_FILE,
 )
 
-# ``seq`` is the segment's rank over this many bits of offset: one integer in (path,
-# line) order. 36 bits hold any split of up to 64 GB.
-OFFSET_BITS = 36
+# ``seq`` is the segment's rank over the bits of an offset: one integer in (path, line)
+# order. How many bits an offset takes follows the longest segment, so ranks have the rest.
+SEQ_BITS = 63
 
 
 def header_field_count(fields: Column) -> Column:
@@ -94,6 +95,17 @@ def measure_segments(lines: DataFrame) -> DataFrame:
     return global_positions(facts, by_path, "rank")
 
 
+def offset_bits(longest: int, last_rank: int) -> int:
+    """Bits of ``seq`` for offsets in segments of up to ``longest`` lines; fails where ranks
+    up to ``last_rank`` do not fit above them."""
+    bits = max(1, int(longest).bit_length())
+    if bits + int(last_rank).bit_length() > SEQ_BITS:
+        raise ValueError(
+            f"{last_rank} segments of up to {longest} lines exceed the order key; read larger splits"
+        )
+    return bits
+
+
 def _numbered(segments: DataFrame) -> DataFrame:
     """Add ``before``: the lines of the same source in earlier segments."""
     earlier = (
@@ -182,10 +194,12 @@ class ParsedExports:
     rows: DataFrame
     segments: DataFrame
     sources: DataFrame
+    offset_bits: int
 
     def lineage_of(self, keyed: DataFrame) -> DataFrame:
         """Add path, file and line number to rows known by ``seq`` alone."""
-        segments = (
+        # Written, so that the planner knows its size when it picks the join.
+        segments = stage(
             _numbered(self.segments)
             .join(self.sources.select("source_path", "first_no"), "source_path")
             .select(
@@ -193,12 +207,13 @@ class ParsedExports:
                 "source_path",
                 F.col("source_file").alias(SOURCE_FILE),
                 (F.col("before") + F.col("first_pos") - F.col("first_no") + 1).alias("_start"),
-            )
+            ),
+            "lineage",
         )
-        offset = F.col("seq").bitwiseAND((1 << OFFSET_BITS) - 1)
+        offset = F.col("seq").bitwiseAND((1 << self.offset_bits) - 1)
         return (
-            keyed.withColumn("rank", F.shiftright("seq", OFFSET_BITS))
-            .join(broadcast_if_small(segments, self.segments), "rank")
+            keyed.withColumn("rank", F.shiftright("seq", self.offset_bits))
+            .join(segments, "rank")
             .withColumn(LINE_NUMBER, F.col("_start") + offset)
             .drop("rank", "_start")
         )
@@ -214,6 +229,8 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
     """
     segments = measure_segments(lines)
     sources = describe_sources(segments, layout)
+    longest, last_rank = segments.agg(F.max("n_lines"), F.max("rank")).first()
+    bits = offset_bits(longest or 0, last_rank or 0)
 
     # Everything a line needs to know about its file, one row per segment.
     header = F.col("header")
@@ -222,7 +239,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
             F.filter(header, lambda n: ~n.isin(list(COLUMNS + LINEAGE)))
         )
     )
-    keys = (
+    keys = stage(
         _numbered(segments)
         .join(
             sources.select(
@@ -248,10 +265,11 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
             "unknown",
             (F.col("before") - F.col("first_no") + 1).alias("to_line_no"),
             (F.col("last_no") - F.col("first_no") + 1).alias("last_line_no"),
-            F.shiftleft("rank", OFFSET_BITS).alias("first_seq"),
+            F.shiftleft("rank", bits).alias("first_seq"),
             "first_pos",
             "n_lines",
-        )
+        ),
+        "layouts",
     )
 
     # A line outside its measured segment means the input changed between the scans.
@@ -284,7 +302,7 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
     )
     rows = (
         lines.filter(~is_blank("line"))
-        .join(broadcast_if_small(keys, segments), ["source_path", "segment"], "left")
+        .join(keys, ["source_path", "segment"], "left")
         .withColumn("seq", seq)
         .withColumn(LINE_NUMBER, line_no)
         .filter(F.coalesce(~(first & (F.col("parse_format") == SEPARATE_HEADER)), F.lit(True)))
@@ -299,4 +317,4 @@ def parse_lines(lines: DataFrame, layout: str = "positional") -> ParsedExports:
             "source_path",
         )
     )
-    return ParsedExports(rows, segments, sources)
+    return ParsedExports(rows, segments, sources, bits)

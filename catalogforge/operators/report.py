@@ -85,3 +85,10 @@ def reconcile(files: DataFrame, stats: DataFrame) -> DataFrame:
             "balanced"
         ),
     )
+
+
+def require_balance(balance: DataFrame) -> None:
+    """Fail if rows were lost or gained between the files and the table."""
+    found = balance.first()
+    if not found.balanced:
+        raise ValueError(f"row counts do not add up: {found.asDict()}")

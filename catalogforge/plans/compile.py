@@ -24,7 +24,8 @@ def compile_exports(
     ``compiled`` holds the unique rows with lineage, ``seq`` and their number of
     ``copies``; ``report_*`` say what was found. With ``csv`` the table is also
     written as CSV under the unified header, and with ``list_duplicates`` the removed
-    rows are listed, at the price of one more scan. Fails if there are no rows at all.
+    rows are listed, at the price of one more scan. Fails if there are no rows at
+    all, or if the rows of the files do not add up.
     """
     lines = exports.read_lines(spark, path, skip_unreadable=skip_unreadable)
     run = parsing.parse_lines(lines, layout)
@@ -48,6 +49,7 @@ def compile_exports(
 
     stats = report.run_statistics(files, compiled)
     report.reconcile(files, stats).write.parquet(f"{out}/report_balance")
+    report.require_balance(spark.read.parquet(f"{out}/report_balance"))
     stats.write.parquet(f"{out}/report_stats")
     report.format_census(files).write.parquet(f"{out}/report_formats")
     if skip_unreadable:
@@ -60,9 +62,13 @@ def compile_exports(
 
 
 def write_compiled_csv(compiled: DataFrame, fields: DataFrame, path: str) -> None:
-    """The compiled table under its unified header, unknown columns spread out."""
+    """The compiled table under its unified header, unknown columns spread out.
+
+    ``source_path`` and the order key ``seq`` come last, so that the table can be read
+    back whole by ``tables.compiled_from_csv``.
+    """
     unknown = tables.extra_columns(fields, (*COLUMNS, *LINEAGE))
     present = {r.field for r in fields.filter(F.col("field").isin(list(COLUMNS))).collect()}
-    order = [c for c in COLUMNS if c in present] + unknown + list(LINEAGE)
+    order = [c for c in COLUMNS if c in present] + unknown + [*LINEAGE, "source_path", "seq"]
     spread = tables.spread_extra(compiled, unknown)
     tables.write_csv(spread.select(*[F.col(f"`{c}`") for c in order]), path)

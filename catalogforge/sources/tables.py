@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogforge import functions as C
-from catalogforge.sources.schema import CHUNK_SCHEMA, EXTRA, EXTRA_TYPE
-
-# A compiled table has few columns; a header row gone wrong would name thousands.
-MAX_EXTRA_COLUMNS = 1000
+from catalogforge.sources.schema import CHUNK_SCHEMA, COLUMNS, EXTRA, EXTRA_TYPE, LINEAGE
 
 
 def extra_columns(unified: DataFrame, known: tuple[str, ...]) -> list[str]:
-    """Names in a unified header beyond ``known``. Column names must be known up front."""
+    """Names in a unified header beyond ``known``, all of them: columns must be named up front."""
     names = unified.filter(~F.col("field").isin(list(known))).orderBy("ordinal")
-    found = [r.field for r in names.select("field").limit(MAX_EXTRA_COLUMNS + 1).collect()]
-    if len(found) > MAX_EXTRA_COLUMNS:
-        raise ValueError(f"more than {MAX_EXTRA_COLUMNS} unknown columns; check the headers")
-    return found
+    return [r.field for r in names.select("field").collect()]
 
 
 def spread_extra(df: DataFrame, names: list[str]) -> DataFrame:
@@ -55,9 +49,22 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return table.na.fill("")
 
 
-def compiled_from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A compiled table read from CSV; ``extra`` is empty, unknown columns stay."""
-    return read_csv(spark, path).withColumn(EXTRA, F.array().cast(EXTRA_TYPE))
+def compiled_from_csv(spark: SparkSession, path: str, order: str = "seq") -> DataFrame:
+    """A compiled table read from CSV, fit for the build and the extractors.
+
+    Known columns that the file lacks are empty, columns that no list knows go to
+    ``extra`` where filled, and ``order`` holds the order of the rows.
+    """
+    table = read_csv(spark, path)
+    if order not in table.columns:
+        raise ValueError(f"the file has no column {order!r} to say the order of its rows")
+    kept = {*COLUMNS, *LINEAGE, order, "source_path"}
+    others = [c for c in table.columns if c not in kept]
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in others]
+    extra = F.filter(F.array(*pairs).cast(EXTRA_TYPE), lambda e: e["value"] != "")
+    known = [F.col(f"`{c}`") if c in table.columns else F.lit("").alias(c) for c in COLUMNS]
+    rest = [F.col(f"`{c}`") for c in (*LINEAGE, "source_path") if c in table.columns]
+    return table.select(*known, extra.alias(EXTRA), *rest, F.col(order).cast("bigint").alias(order))
 
 
 def write_chunks(documents: DataFrame, path: str, folder_per_chunk: bool = False) -> None:

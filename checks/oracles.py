@@ -450,6 +450,12 @@ ORACLES: dict[str, str] = {
         CAST(nation_key AS VARCHAR) AS nation_key FROM catalog_src""",
     "s11_csv_texts": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text
         FROM documents""",
+    "s11_csv_tracks": f"WITH {NUMBERED} SELECT * FROM numbered",
+    "s11_csv_extract_tracks": f"""WITH {CATALOG}
+        SELECT {strip('"Name"')} AS track, {artist('"Artist"')} AS artist,
+            {strip('"Album"')} AS album, seq
+        FROM catalog_src WHERE NOT {blank('"Name"')} AND {valid(artist('"Artist"'))}
+            AND {valid('"Album"')}""",
     "s12_chunk_documents": f"""WITH {CHUNKED}
         SELECT chunk, CAST(ceil((SELECT count(*) FROM numbered) / 1000.0) AS INTEGER)
             AS "totalChunks", CAST(count(*) AS INTEGER) AS "count", arg_min(id, seq) AS "firstId",
@@ -460,7 +466,7 @@ ORACLES: dict[str, str] = {
     "s14_album_index_json": f"""WITH {TRACKS}, {ALBUMS},
         {index_json("albumSlug", "artist", "artists", "artistCount", "albums")}""",
     "s15_metadata_json": f"""WITH {TRACKS}
-        SELECT *, (SELECT string_agg(genre, '|' ORDER BY genre)
+        SELECT *, 1 AS part, (SELECT string_agg(genre, '|' ORDER BY genre)
                 FROM (SELECT DISTINCT genre FROM tracks WHERE genre IS NOT NULL)) AS genres,
             (SELECT string_agg(CAST("year" AS VARCHAR), '|' ORDER BY "year")
                 FROM (SELECT DISTINCT "year" FROM tracks WHERE "year" IS NOT NULL)) AS years

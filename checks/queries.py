@@ -167,6 +167,23 @@ def s11_csv_texts(spark, sf):
     return tables.read_csv(spark, path, multi_line=True)
 
 
+def _compiled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    tables.write_csv(catalog_src(spark, sf).drop(EXTRA), path)
+    return tables.compiled_from_csv(spark, path)
+
+
+@query
+def s11_csv_tracks(spark, sf):
+    compiled = _compiled_csv(spark, sf)
+    return tracks.with_track_ids(tracks.clean_tracks(compiled, max_year=MAX_YEAR))
+
+
+@query
+def s11_csv_extract_tracks(spark, sf):
+    return tracks.extract_tracks(_compiled_csv(spark, sf))
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "chunks")
     tables.write_chunks(tracks.chunk_documents(numbered(spark, sf)), path)
@@ -225,13 +242,14 @@ def s15_metadata_json(spark, sf):
     )
     tables.write_json(document, path)
     schema = (
-        "totalTracks bigint, totalArtists bigint, totalAlbums bigint, genres array<string>, "
+        "part int, totalTracks bigint, totalArtists bigint, totalAlbums bigint, genres array<string>, "
         "years array<int>, stats struct<totalSizeBytes bigint, totalSizeGB double, "
         "totalDurationSeconds bigint, totalDurationHours double, totalDurationFormatted string, "
         "avgBitRate double, tracksWithRating bigint>"
     )
     back = tables.read_json(spark, path, schema)
     return back.select(
+        "part",
         "totalTracks",
         "totalArtists",
         "totalAlbums",

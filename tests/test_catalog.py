@@ -134,8 +134,13 @@ def test_stats_and_metadata(spark, rows, local):
     assert doc.genres == ["Rock", "World", "blues"]
     assert doc.years == [1251, 1999, 2003]
     assert doc.stats.totalSizeBytes == got.totalSizeBytes
-    with pytest.raises(ValueError, match="facet_values"):
-        entities.metadata_document(entities.collection_stats(rows), genres, years, max_values=2)
+    parts = entities.metadata_document(entities.collection_stats(rows), genres, years, part_size=2)
+    found = parts.orderBy("part").collect()
+    assert [(r.part, r.genres) for r in found] == [(1, ["Rock", "World"]), (2, ["blues"])]
+    assert {tuple(r.years) for r in found} == {(1251, 1999, 2003)}
+    none = genres.filter("position < 0")
+    lone = entities.metadata_document(entities.collection_stats(rows), none, years).collect()
+    assert [(r.part, r.genres) for r in lone] == [(1, [])]
     empty = entities.collection_stats(rows.filter("seq < 0")).first()
     assert (empty.totalTracks, empty.totalSizeBytes, empty.avgBitRate) == (0, 0, 0.0)
 

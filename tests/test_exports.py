@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from catalogforge.operators import dedup, parsing, report
+from catalogforge.operators import dedup, entities, parsing, report, tracks
 from catalogforge.plans.compile import compile_exports
 from catalogforge.sources import exports, tables
-from catalogforge.sources.schema import COLUMNS, COLUMNS_BY_WIDTH, HEADER_WORDS
+from catalogforge.sources.schema import COLUMNS, COLUMNS_BY_WIDTH, CONTENT, HEADER_WORDS
 
 H18, H25 = COLUMNS_BY_WIDTH[19], COLUMNS_BY_WIDTH[26]
 
@@ -140,8 +141,7 @@ def test_parse_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_shuffle_join_gives_the_same(spark, folder, monkeypatch):
-    monkeypatch.setattr(parsing, "broadcast_if_small", lambda df, counted: df)
+def test_shuffle_join_gives_the_same(spark, folder):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         run = parsing.parse_lines(exports.read_lines(spark, str(folder)))
@@ -205,10 +205,64 @@ def test_compile(spark, folder, tmp_path):
     assert [r.source_path.removeprefix(prefix) for r in
             spark.read.parquet(f"{out}/report_errors").collect()] == []
     csv = tables.read_csv(spark, f"{out}/csv")
-    assert csv.columns[-5:] == ["Mood", "Tempo", "x", "_source_file", "_line_number"]
+    assert csv.columns[-7:-2] == ["Mood", "Tempo", "x", "_source_file", "_line_number"]
     assert csv.count() == len(first)
     back = tables.compiled_from_csv(spark, f"{out}/csv")
-    assert sorted(r.Name for r in back.collect()) == sorted(r.Name for r in got)
+    again = back.orderBy("seq").collect()
+    assert [as_values(r) for r in again] == [as_values(r) for r in got]
+    assert [(r.seq, r.source_path) for r in again] == [(r.seq, r.source_path) for r in got]
+    built = tracks.build_tracks(back, max_year=2024)
+    assert built.orderBy("id").collect() == tracks.build_tracks(compiled, max_year=2024).orderBy("id").collect()
+
+
+def test_csv_of_few_columns(spark, tmp_path):
+    """A file without most columns builds; one without an order does not."""
+    path = str(tmp_path / "csv")
+    rows = [("b", "X", "2"), ("a", "Y", "1"), ("c", "", "3")]
+    tables.write_csv(spark.createDataFrame(rows, "Name string, Artist string, seq string"), path)
+    back = tables.compiled_from_csv(spark, path)
+    assert [r.name for r in tracks.build_tracks(back).orderBy("id").collect()] == ["a", "b", "c"]
+    assert entities.extract_artists(back).count() == 2
+    tables.write_csv(spark.createDataFrame([("a",)], "Name string"), f"{path}2")
+    with pytest.raises(ValueError, match="order"):
+        tables.compiled_from_csv(spark, f"{path}2")
+
+
+def test_more_than_a_thousand_unknown_columns(spark):
+    fields = spark.createDataFrame([(i, f"u{i}") for i in range(1200)], "ordinal int, field string")
+    assert len(tables.extra_columns(fields, ())) == 1200
+
+
+@pytest.mark.parametrize("rank", [2**27 - 2, 2**28 - 2, 2**40])
+def test_order_key_beyond_many_segments(spark, folder, monkeypatch, rank):
+    """Order, dedup and lineage hold however many segments come before."""
+    measure = parsing.measure_segments
+    monkeypatch.setattr(
+        parsing, "measure_segments", lambda lines: measure(lines).withColumn("rank", F.col("rank") + rank)
+    )
+    run = parsing.parse_lines(exports.read_lines(spark, str(folder)))
+    assert collected(run, folder) == brute(folder)[0]
+    kept = run.lineage_of(dedup.dedup_first(run.rows, CONTENT, "seq")).orderBy("seq").collect()
+    first = {}
+    for key, number, values in brute(folder)[0]:
+        first.setdefault(tuple(sorted(values.items())), (key, number))
+    prefix = f"file:{folder}/"
+    assert [(r.source_path.removeprefix(prefix), r._line_number) for r in kept] == list(first.values())
+    ids = tracks.with_track_ids(tracks.clean_tracks(run.rows, max_year=2024)).orderBy("seq")
+    assert [r.id for r in ids.collect()] == sorted(r.id for r in ids.collect())
+
+
+def test_order_key_says_when_it_is_full():
+    assert parsing.offset_bits(2**27, 2**34) == 28
+    with pytest.raises(ValueError, match="order key"):
+        parsing.offset_bits(2**40, 2**30)
+
+
+def test_lost_rows_fail_the_compile(spark):
+    rows = [(10, 9, 9, 0, False)]
+    names = "expected_rows long, total_rows long, unique_rows long, duplicates_removed long, balanced boolean"
+    with pytest.raises(ValueError, match="add up"):
+        report.require_balance(spark.createDataFrame(rows, names))
 
 
 def test_nothing_to_compile(spark, tmp_path):
