@@ -101,17 +101,27 @@ def group_positions(
     """Add ``name``: the 1-based place of each row inside its ``group``.
 
     A group may be larger than any one task: rows are sorted by group and order
-    together, so a hot group spans partitions, and each group's first place is taken
-    from its smallest global position. The join back is an inner equi-join, which
-    adaptive execution may broadcast or split on the hot side.
+    together and written, so a hot group spans partitions. Each (group, partition) gets
+    its offset from the sizes of the earlier ones, and rows meet it on that pair, of
+    which none holds more than one partition, with or without adaptive execution.
     """
-    placed = global_positions(df, [*group, *order], "_place")
-    starts = placed.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(
-        F.min("_place").alias("_start")
+    row = F.monotonically_increasing_id()
+    sorted_rows = stage(df.orderBy(*group, *order).withColumn("_row", row), "sorted")
+    parted = sorted_rows.withColumn("_part", F.shiftright("_row", PARTITION_SHIFT))
+    sizes = parted.groupBy(*group, "_part").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    earlier = (
+        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = sizes.select(
+        *[F.col(g).alias(f"_{g}") for g in group],
+        F.col("_part").alias("_of_part"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
-    return placed.join(starts, same).select(
-        *df.columns, (F.col("_place") - F.col("_start") + 1).alias(name)
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return parted.join(offsets, reduce(and_, same, F.col("_part") == F.col("_of_part"))).select(
+        *df.columns, (F.col("_row") + F.col("_shift")).alias(name)
     )
 
 
