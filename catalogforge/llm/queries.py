@@ -66,6 +66,24 @@ def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# Base32 writes five bits a letter: five hexadecimal digits are four letters.
+ORACLES["op4_seekable_warc"] = """WITH payloads AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexed FROM pages
+    ), coded AS (
+        SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS top,
+            array_to_string(list_transform(range(0, 32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(((CAST('0x' || substr(hexed, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT)
+                    >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '')
+                AS payload_digest
+        FROM payloads
+    )
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM coded"""
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
