@@ -189,12 +189,18 @@ def extract_albums(compiled: DataFrame) -> DataFrame:
 def extracted_documents(
     pairs: DataFrame, entity: str, member: str, plural: str, part_size: int = MEMBERS_PER_PART
 ) -> DataFrame:
-    """Extracted pairs as rows with member arrays in parts; no member, empty array."""
-    return (
+    """Extracted pairs as rows with member arrays in parts; no member, empty array.
+
+    ``number`` is the place of the entity in order, ``total`` the number of entities.
+    """
+    parts = (
         pairs.withColumn("part", (F.floor((F.col("position") - 1) / part_size) + 1).cast("int"))
         .groupBy(entity, "part")
         .agg(F.array_sort(F.collect_list(member)).alias(plural))
     )
+    order = global_positions(pairs.select(entity).distinct(), [entity], "number")
+    total = order.agg(F.count(F.lit(1))).scalar()
+    return parts.join(order, entity).withColumn("total", total)
 
 
 def preview(

@@ -25,8 +25,9 @@ def compile_exports(
     ``copies``; ``report_*`` say what was found. With ``csv`` the table is also
     written as CSV under the unified header, and with ``list_duplicates`` the removed
     rows are listed, at the price of one more scan. Fails if there are no rows at
-    all, or if the rows of the files do not add up.
+    all, if the rows of the files do not add up, or if exports have names that Spark passes over.
     """
+    exports.require_visible(spark, path)
     lines = exports.read_lines(spark, path, skip_unreadable=skip_unreadable)
     run = parsing.parse_lines(lines, layout)
     found = exports.discover_exports(spark, path)

@@ -8,6 +8,7 @@ one per line inside it. Nothing here needs a whole file in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,39 @@ def discover_exports(
     )
 
 
+def require_visible(
+    spark: SparkSession,
+    path: str,
+    patterns: Sequence[str] = PATTERNS,
+    excluded: Sequence[str] = EXCLUDED,
+) -> None:
+    """Fail if exports lie in files or folders that Spark passes over.
+
+    Spark never lists names that begin with ``_`` or ``.``. They are looked for level by
+    level through the session's file system, by name alone.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def is_export(name: str) -> bool:
+        return name not in excluded and any(fnmatchcase(name, p) for p in patterns)
+
+    found, level = [], path.rstrip("/")
+    while files.globStatus(hadoop.Path(f"{level}/*")):
+        for entry in files.globStatus(hadoop.Path(f"{level}/{{_,.}}*")) or ():
+            if entry.isFile():
+                names = [entry.getPath()]
+            else:
+                inside = files.listFiles(entry.getPath(), True)
+                names = []
+                while inside.hasNext():
+                    names.append(inside.next().getPath())
+            found += [n.toString() for n in names if is_export(n.getName())]
+        level += "/*"
+    if found:
+        raise ValueError(f"{len(found)} exports have hidden names, rename them: {sorted(found)[:10]}")
+
+
 def file_sizes(
     spark: SparkSession,
     path: str,

@@ -351,6 +351,14 @@ extracted AS (
     SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY {member}) AS position FROM whole)"""
 
 
+def extracted_json(entity: str, member: str) -> str:
+    return f"""SELECT {entity}, CAST((position - 1) // 1000 + 1 AS INTEGER) AS part,
+            coalesce(string_agg({member}, '|' ORDER BY {member}), '') AS {member}s,
+            CAST(dense_rank() OVER (ORDER BY {entity}) AS BIGINT) AS number,
+            (SELECT count(DISTINCT {entity}) FROM extracted) AS total
+        FROM extracted GROUP BY 1, 2"""
+
+
 def sample(entity: str, member: str) -> str:
     return f"""WITH {extracted(entity, member)},
     few AS (SELECT {entity}, count({member}) AS n, list({member} ORDER BY {member})
@@ -424,6 +432,12 @@ POSTINGS = r"""postings AS (
         FROM documents)
     WHERE term <> '' GROUP BY 1, 2)"""
 
+EXTRACT_TRACKS = f"""WITH {CATALOG}
+        SELECT {strip('"Name"')} AS track, {artist('"Artist"')} AS artist,
+            {strip('"Album"')} AS album, seq
+        FROM catalog_src WHERE NOT {blank('"Name"')} AND {valid(artist('"Artist"'))}
+            AND {valid('"Album"')}"""
+
 ORACLES: dict[str, str] = {
     "s1_discover_exports": f"""WITH {lines()}
         SELECT {_FOLDERS}, count(DISTINCT source_path) AS files FROM lines GROUP BY 1, 2""",
@@ -451,11 +465,7 @@ ORACLES: dict[str, str] = {
     "s11_csv_texts": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text
         FROM documents""",
     "s11_csv_tracks": f"WITH {NUMBERED} SELECT * FROM numbered",
-    "s11_csv_extract_tracks": f"""WITH {CATALOG}
-        SELECT {strip('"Name"')} AS track, {artist('"Artist"')} AS artist,
-            {strip('"Album"')} AS album, seq
-        FROM catalog_src WHERE NOT {blank('"Name"')} AND {valid(artist('"Artist"'))}
-            AND {valid('"Album"')}""",
+    "s11_csv_extract_tracks": EXTRACT_TRACKS,
     "s12_chunk_documents": f"""WITH {CHUNKED}
         SELECT chunk, CAST(ceil((SELECT count(*) FROM numbered) / 1000.0) AS INTEGER)
             AS "totalChunks", CAST(count(*) AS INTEGER) AS "count", arg_min(id, seq) AS "firstId",
@@ -472,20 +482,17 @@ ORACLES: dict[str, str] = {
                 FROM (SELECT DISTINCT "year" FROM tracks WHERE "year" IS NOT NULL)) AS years
         FROM ({STATS})""",
     "s16_extracted_json": f"""WITH {extracted("artist", "album")}
-        SELECT artist, CAST((position - 1) // 1000 + 1 AS INTEGER) AS part,
-            coalesce(string_agg(album, '|' ORDER BY album), '') AS albums
-        FROM extracted GROUP BY 1, 2""",
+        {extracted_json("artist", "album")}""",
+    "s16_extracted_albums_json": f"""WITH {extracted("album", "artist")}
+        {extracted_json("album", "artist")}""",
+    "s16_extracted_tracks_json": EXTRACT_TRACKS,
     "s17_report_files": f"WITH {parse()} {FILES}",
     "s17_report_fields": f"WITH {parse()}, {REPORT_FIELDS} SELECT ordinal, field FROM unified",
     "s17_report_stats": f"""WITH {parse()}, {DEDUPED}, {REPORT_FIELDS}
         {RUN_STATS}, (SELECT count(*) FROM unified) AS unique_fields FROM deduped""",
     "s18_read_chunks": f"WITH {CHUNKED} SELECT * EXCLUDE (seq) FROM chunked",
     "p1_track_table": f"WITH {NUMBERED} SELECT * FROM numbered",
-    "p2_extract_tracks": f"""WITH {CATALOG}
-        SELECT {strip('"Name"')} AS track, {artist('"Artist"')} AS artist,
-            {strip('"Album"')} AS album, seq
-        FROM catalog_src WHERE NOT {blank('"Name"')} AND {valid(artist('"Artist"'))}
-            AND {valid('"Album"')}""",
+    "p2_extract_tracks": EXTRACT_TRACKS,
     "p3_track_rows": f"""WITH {TRACKS} SELECT seq, name, artist,
             '/music/artists/' || "artistSlug" AS "artistLink", album,
             '/music/albums/' || "albumSlug" AS "albumLink",

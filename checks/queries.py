@@ -259,13 +259,28 @@ def s15_metadata_json(spark, sf):
     )
 
 
+def _extracted_json(spark: SparkSession, pairs: DataFrame, entity: str, member: str) -> DataFrame:
+    path, plural = scratch_path(spark, "extracted"), f"{member}s"
+    tables.write_json(entities.extracted_documents(pairs, entity, member, plural), path)
+    schema = f"{entity} string, part int, {plural} array<string>, number bigint, total bigint"
+    return tables.read_json(spark, path, schema).withColumn(plural, F.array_join(plural, "|"))
+
+
 @query
 def s16_extracted_json(spark, sf):
+    return _extracted_json(spark, entities.extract_artists(catalog_src(spark, sf)), "artist", "album")
+
+
+@query
+def s16_extracted_albums_json(spark, sf):
+    return _extracted_json(spark, entities.extract_albums(catalog_src(spark, sf)), "album", "artist")
+
+
+@query
+def s16_extracted_tracks_json(spark, sf):
     path = scratch_path(spark, "extracted")
-    pairs = entities.extract_artists(catalog_src(spark, sf))
-    tables.write_json(entities.extracted_documents(pairs, "artist", "album", "albums"), path)
-    back = tables.read_json(spark, path, "artist string, part int, albums array<string>")
-    return back.withColumn("albums", F.array_join("albums", "|"))
+    tables.write_json(tracks.extract_tracks(catalog_src(spark, sf)), path)
+    return tables.read_json(spark, path, "track string, artist string, album string, seq bigint")
 
 
 @query

@@ -161,6 +161,9 @@ def test_extractors(compiled):
     )
     docs = entities.extracted_documents(got, "artist", "album", "albums").collect()
     assert {r.artist: r.albums for r in docs} == {a: sorted(m) for a, m in artists.items()}
+    places = {a: i for i, a in enumerate(sorted(artists), 1)}
+    assert {r.artist: r.number for r in docs} == places
+    assert {r.total for r in docs} == {len(places)}
     rows = tracks.extract_tracks(compiled).orderBy("seq").collect()
     assert [(r.track, r.artist, r.album) for r in rows] == listed
 

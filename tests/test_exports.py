@@ -287,3 +287,14 @@ def test_duplicates_of_copies(spark):
     assert kept["same"] == (1, sum(1 for d in data if d[1] == "same"))
     again = {r.k for r in dedup.duplicates(df, ["a", "b"], "k").collect()}
     assert again == {d[0] for d in data} - {k for k, _ in kept.values()}
+
+
+@pytest.mark.parametrize("name", ["_hidden.txt", ".hidden.txt", "_sub/Library.export1", "a/b/.x.txt"])
+def test_hidden_exports_fail_the_compile(spark, tmp_path, name):
+    (tmp_path / "in" / name).parent.mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text(row(5))
+    exports.require_visible(spark, str(tmp_path / "in"))
+    (tmp_path / "in" / name).write_text(row(5))
+    (tmp_path / "in" / "_other").write_text("not an export")
+    with pytest.raises(ValueError, match="hidden names"):
+        compile_exports(spark, str(tmp_path / "in"), str(tmp_path / "out"))
