@@ -84,9 +84,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     )
     seen = _mark(now)
     while True:
+        total = 2 * seen[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u"))
-        small = _star(large.filter(F.col("u") > F.col("v")), F.lit(True), own=True)
+        large = stage(_star(both, F.col("v") > F.col("u"), total), label)
+        small = _star(large.filter(F.col("u") > F.col("v")), F.lit(True), total, own=True)
         now = stage(small, label)
         mark = _mark(now)
         if mark == seen:
@@ -99,12 +100,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(both), F.min("u")).first())
 
 
-def _star(edges: DataFrame, wanted: Column, own: bool = False) -> DataFrame:
+def _star(edges: DataFrame, wanted: Column, total: int, own: bool = False) -> DataFrame:
     """Links each wanted neighbour of u (and u itself) to the least of u and its neighbours."""
     least = edges.groupBy("u").agg(
         F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")
     )
-    total = edges.count()
     moved = hot_join(edges.filter(wanted), least, "u", "n", total).select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
