@@ -43,6 +43,13 @@ SLICE = 4 << 20
 UND = "und"
 
 _LETTER = regex.compile(r"\p{L}")
+# ASCII punctuation parts words and is no evidence.
+_PARTS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_TO_BLANK = bytes(32 if chr(c) in _PARTS else c for c in range(256))
+
+
+def split_words(text: str) -> list[str]:
+    return text.lower().encode().translate(_TO_BLANK).decode().split()
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -64,22 +71,31 @@ class Lattice:
     """Piece numbers of every substring; the last two stand for unknown and impossible."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces)}
+        # Beginnings of longer pieces are known too, so that a search can stop early.
+        self.number = {p[:i]: -1 for p in pieces for i in range(2, len(p))}
+        self.number |= {p: i for i, p in enumerate(pieces)}
         self.unknown, self.never = len(pieces), len(pieces) + 1
 
     def edges(self, words: list[str]) -> np.ndarray:
         """(word, start, length - 1) for words of one length."""
-        n, get, never = len(words[0]), self.number.get, self.never
+        n, get = len(words[0]), self.number.get
         width = min(n, LONGEST)
-        flat = []
+        out = np.full(len(words) * n * width, self.never, np.int32)
+        at, found, row = [], [], 0
         for w in words:
             for i in range(n):
-                flat.append(get(w[i], self.unknown))
-                stop = min(n, i + width)
-                flat += [get(w[i:j], never) for j in range(i + 2, stop + 1)]
-                if stop - i < width:
-                    flat += [never] * (width - stop + i)
-        return np.array(flat, np.int32).reshape(len(words), n, width)
+                at.append(row)
+                found.append(get(w[i], self.unknown))
+                for j in range(i + 2, min(n, i + width) + 1):
+                    piece = get(w[i:j])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        at.append(row + j - i - 1)
+                        found.append(piece)
+                row += width
+        out[at] = found
+        return out.reshape(len(words), n, width)
 
     def by_length(self, words: list[str], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray]]:
         """Places of the words of each length with their edges, in blocks."""
@@ -141,7 +157,7 @@ class Scorer:
             total = sums[-1] * table[get(word[j - 1], lattice.unknown)]
             for length in range(2, min(len(sums), LONGEST) + 1):
                 piece = get(word[j - length : j])
-                if piece is not None:
+                if piece is not None and piece >= 0:
                     total = total + sums[-length] * table[piece]
             scale += np.log(total)
             sums = [s / total for s in sums[1 - LONGEST :]] + [np.ones_like(total)]
@@ -149,7 +165,7 @@ class Scorer:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """(text, language) log-probabilities."""
-        parts = [t.lower().split() for t in texts]
+        parts = [split_words(t) for t in texts]
         self.learn(set().union(*parts))
         out = np.zeros((len(texts), self.table.shape[1]))
         for i, words in enumerate(parts):
@@ -180,7 +196,7 @@ def learn(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> tuple[lis
     )
     draw = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
     drawn = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
-    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[\s\p{Punct}]+")).alias("word"))
     counted = words.filter(F.length("word").between(1, SHORT - 1)).groupBy("lang", "word")
     counts = stage(counted.agg(F.count("*").alias("n")).repartition("word"), "langid-words")
     shipped = spark.sparkContext.broadcast(pieces)
