@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogforge.llm.bpe import PATTERN, Cache, pieces, vocabulary_path
+from catalogforge.llm.bpe import PATTERN, pieces, vocabulary_path
 from catalogforge.llm.common import slices, texts
 
 END_ID = 0
@@ -47,11 +47,31 @@ LAYOUT = {
 }
 
 SLICE = 4 << 20
-WORDS, PIECES = 1_000_000, 300_000
+# Each memory holds twice as many: what was used since it last filled, and before.
+WORDS, PIECES = 450_000, 350_000
 
 _tokenizers: dict[str, Tokenizing] = {}
 
 
+class Recent(dict):
+    """Remembers what ``make`` gave; when ``limit`` keys are met, those not used since the
+    last time are forgotten."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.before = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Tokenizing:
     """The tokenizers library behind bounded caches of words and of pieces between blanks."""
 
@@ -64,9 +84,9 @@ class Tokenizing:
         self.library.no_padding()
         self.stops = [t.content for t in self.library.get_added_tokens_decoder().values()]
         split = regex.compile(PATTERN).findall
-        words = Cache(self.whole, WORDS).__getitem__
+        words = Recent(self.whole, WORDS).__getitem__
         self.first = lambda p: b"".join(map(words, split(p)))
-        self.later = Cache(lambda p: self.first(" " + p), PIECES)
+        self.later = Recent(lambda p: self.first(" " + p), PIECES)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
