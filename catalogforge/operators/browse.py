@@ -14,6 +14,9 @@ from catalogforge.operators.ordering import global_positions, group_positions
 # Fixed value: tracks per page.
 PAGE_SIZE = 100
 
+# Copies of the index side that the tracks of one slug spread over.
+SALTS = 8
+
 
 def disc_order() -> list[Column]:
     """Order of tracks on an album: disc, track, then order of arrival."""
@@ -24,10 +27,16 @@ def disc_order() -> list[Column]:
 def entity_tracks(index: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
     """Every index row with its tracks; a row without any keeps one row of nulls.
 
-    Written as an inner join plus the rows left over, so that adaptive execution may
-    split a hot slug on the track side (an outer join could not).
+    Every slug's tracks spread over ``SALTS`` copies of its index row, so a slug that
+    holds a third of all tracks fills several tasks. Written as an inner join plus the
+    rows left over, which lets adaptive execution split further.
     """
-    found = index.join(tracks, index["slug"] == tracks[key])
+    columns = [*[F.col(c) for c in index.columns], *[F.col(c) for c in tracks.columns]]
+    copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.struct(*tracks.columns)), F.lit(SALTS)).cast("int")
+    salted = tracks.withColumn("_salt_of", salt)
+    same = (F.col("slug") == F.col(key)) & (F.col("_salt") == F.col("_salt_of"))
+    found = copies.join(salted, same).select(*columns)
     present = tracks.select(F.col(key).alias("slug")).distinct()
     alone = index.join(present, "slug", "left_anti")
     return found.unionByName(alone, allowMissingColumns=True)

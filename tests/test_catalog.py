@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -319,3 +320,31 @@ def test_search(spark):
 def test_require_rows(spark):
     with pytest.raises(ValueError, match="no rows"):
         report.require_rows(spark.createDataFrame([], "a string"))
+
+
+def test_hot_slug_spreads_over_tasks(spark):
+    """Without adaptive execution, a slug of 90% of the tracks fills several tasks."""
+    index = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "slug string, n int")
+    few = spark.range(4000).selectExpr(
+        "id as seq", "if(id % 10 = 0, 'cold', 'hot') as artistSlug", "cast(id as string) as name"
+    )
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = browse.entity_tracks(index, few, "artistSlug").withColumn("_task", F.spark_partition_id())
+        rows = got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.slug, r.seq) for r in rows if r.seq is not None) == sorted(
+        ("cold" if i % 10 == 0 else "hot", i) for i in range(4000)
+    )
+    assert [(r.slug, r.n) for r in rows if r.seq is None] == [("none", 3)]
+    hot = Counter(r._task for r in rows if r.slug == "hot")
+    assert max(hot.values()) < 0.6 * sum(hot.values())
