@@ -233,3 +233,37 @@ def test_pipeline_empty(spark, empty, labels, benchmark_items, tmp_path):
     labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     benchmark_items.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path, library, benchmark_items):
+    """Every stage restated plainly over planted rows."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(rnd.randint(1, 4)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n)) + "."
+    junk = lambda: " ".join(f"{word().upper()}!!" for _ in range(60))
+    docs = {i: prose(6) + "\n" + prose(5) for i in range(60)}
+    docs |= {i: junk() + "\n" + junk() for i in range(60, 100)}
+    docs[100] = docs[7]
+    docs[101] = docs[8].replace(docs[8].split()[20], "changed", 1)
+    docs[102] = prose(4) + " the quick brown fox jumps over the lazy dog near the old river " + prose(4)
+    docs[103] = prose(5) + " Write to bob@example.com or call +1 212 555 0100 today. " + prose(5)
+    quality = {i: int(not 60 <= i < 100) for i in docs}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark_items.write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = {i: t for i, t in docs.items() if quality[i]}
+    grams = {}
+    for i, t in kept.items():
+        w = re.sub(r"[.,;:!?\"'()*#%$&|]", "", t.lower()).split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    first = [i for i in kept if not any(len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in kept if j < i)]
+    leaked = "quick brown fox jumps over the lazy dog near the old river"
+    clean = {i: kept[i] for i in first if leaked not in kept[i].lower()}
+    masked = {i: t.replace("bob@example.com", "<email>").replace("+1 212 555 0100", "<phone>") for i, t in clean.items()}
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in masked.items()}
+    got = {r.doc_id: (list(r.ids), r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and not {100, 101, 102} & set(got) and 103 in got
+    for i, ids in want.items():
+        assert got[i] == (ids, len(ids), hashlib.sha256(masked[i].encode()).hexdigest())
