@@ -3,9 +3,9 @@
 SimHash links within two bits (``simhash.linked``) find texts that are almost equal.
 Texts that share four fifths of their five-word shingles lie about eleven bits apart,
 where a tree over 64 bits prunes nothing, so a second sketch proposes those pairs: bands
-of min-wise hashes. Members of a band meet a few centres of it, never each other, and a
-proposed pair counts only if the whole sketches agree in ``similarity`` of their places.
-Links of both kinds join in components, of which the smallest ``doc_id`` stays.
+of min-wise hashes. Members of a band meet centres of it, in rounds until all that have not
+met are tied, and a proposed pair counts only if the whole sketches agree in ``similarity``
+of their places. Links of both kinds join in components, of which the smallest ``doc_id`` stays.
 
 Defined cases: null texts count as empty, and all texts without words are one group; rows
 that repeat are one document; a null ``doc_id`` counts as larger than any other; an empty
@@ -14,12 +14,12 @@ table gives an empty result; further columns are kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogforge.llm import simhash
@@ -30,7 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 PLACES = 128
 BANDS, ROWS = 12, 3
-CENTRES = 3
+# Members of a band that meet all others in the first round, and how their number grows.
+CENTRES, GROWTH = 4, 4
 SLICE = 4 << 20
 
 # Punctuation that does not tell words apart.
@@ -89,20 +90,79 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th string, fp long, places binary, bands array<long>")
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
-    """``a, b``: members of each band with its centres."""
+def _central(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, score`` of ``members``: how many sketches of ``members`` share its places, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(PLACES, dtype=np.int64) << np.int64(32)
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, PLACES)
+            for at in range(0, len(ids), 512):
+                keys = (values[at : at + 512].astype(np.int64) + place).ravel()
+                owner = np.repeat(ids[at : at + 512], PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys)], ["node", "place"])
+
+    spread = nodes.select("node", "places").join(members, "node", "left_semi").mapInArrow(run, "node long, place long")
+    spread = stage(spread, "neardup-places")
+    counts = spread.groupBy("place").agg(F.count("*").alias("n")).withColumn("with", F.col("n"))
+    met = hot_join(spread, stage(counts, "neardup-counts"), "place", "n", spread.count())
+    return met.groupBy("node").agg(F.sum("with").alias("score"))
+
+
+def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, root``: components of the ``known`` links and of all links within the bands.
+
+    In rounds, members of a band that are not in one component yet meet centres of it;
+    a centre has met all others and leaves. The first centres are those nearest to the
+    sketches around them, later ones come from outside the largest component. Their number
+    grows by ``GROWTH`` a round, and a band is done when what is left of it is one
+    component, so two members either met or are tied.
+    """
     keyed = nodes.select("node", F.explode("bands").alias("band"))
-    mixed = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(CENTRES)]
-    found = keyed.groupBy("band").agg(
-        F.array(F.min("node"), *[F.min(m).getField("node") for m in mixed]).alias("centres"),
-        F.count("*").alias("n"),
-    )
-    centres = stage(found.filter("n > 1").select("band", "centres", "n"), "neardup-bands")
-    met = hot_join(keyed, centres, "band", "n", nodes.count() * BANDS)
-    pairs = met.filter(F.col("centres").isNotNull()).select(
-        F.col("node").alias("b"), F.explode("centres").alias("a")
-    )
-    return pairs.filter(F.col("a") != F.col("b")).distinct()
+    total = nodes.count() * BANDS
+    found = keyed.groupBy("band").agg(F.count("*").alias("n")).withColumn("m", F.col("n"))
+    shared = stage(found.filter("n > 1"), "neardup-bands")
+    live = stage(hot_join(keyed, shared, "band", "n", total).filter("m IS NOT NULL"), "neardup-members")
+    crowded = live.filter(F.col("m") > CENTRES + 1).select("node").distinct()
+    scores = stage(_central(crowded, nodes), "neardup-scores")
+    live = live.join(scores, "node", "left").select("band", "node", F.coalesce("score", F.lit(0)).alias("score"))
+    live, links, most = stage(live, "neardup-live"), known, CENTRES
+    while True:
+        tied = components(links, "neardup-groups")
+        named = stage(
+            live.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-named"
+        )
+        sizes = named.groupBy("band", "root").agg(F.count("*").alias("m"))
+        bands_of = sizes.groupBy("band").agg(
+            F.sum("m").alias("n"), F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("roots")
+        )
+        apart = stage(bands_of.filter("roots > 1").select("band", "n", "main"), "neardup-apart")
+        if apart.isEmpty():
+            return tied
+        rest = stage(hot_join(named, apart, "band", "n", total).filter("main IS NOT NULL"), "neardup-rest")
+        outside = [F.col("root") == F.col("main")] if most > CENTRES else []
+        order = Window.partitionBy("band").orderBy(*outside, F.desc("score"), F.xxhash64("node"), "node")
+        chosen = rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        chosen = stage(chosen.select("band", "node", "root"), "neardup-chosen")
+        centres = chosen.groupBy("band").agg(F.collect_list(F.struct("node", "root")).alias("centres"))
+        table = stage(apart.select("band", "n").join(centres, "band"), "neardup-centres")
+        met = hot_join(rest.select("band", "node", "root"), table, "band", "n", total)
+        other = F.filter("centres", lambda c: c["root"] != F.col("root"))
+        pairs = met.select(F.col("node").alias("b"), F.explode(other).alias("c")).select(F.col("c.node").alias("a"), "b")
+        new = stage(verify(pairs.distinct()), "neardup-links")
+        links = tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+        live = rest.join(chosen, ["band", "node"], "left_anti").select("band", "node", "score")
+        most *= GROWTH
+
+
+def _fetched(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``a, b, x, y``: ``column`` of both nodes of each pair."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    known = table.select("node", column)
+    left = known.withColumnsRenamed({"node": "a", column: "x"}).join(counts, "a")
+    right = known.withColumnsRenamed({"node": "b", column: "y"})
+    return hot_join(pairs, left, "a", "n", pairs.count()).join(right, "b").select("a", "b", "x", "y")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -117,13 +177,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
             same = pa.array((x == y).mean(axis=1) >= similarity)
             yield batch.select([0, 1]).filter(same)
 
-    pairs = stage(pairs, "neardup-pairs")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    known = nodes.select("node", "places")
-    left = known.withColumnsRenamed({"node": "a", "places": "x"}).join(counts, "a")
-    right = known.withColumnsRenamed({"node": "b", "places": "y"})
-    met = hot_join(pairs, left, "a", "n", pairs.count()).join(right, "b")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _fetched(stage(pairs, "neardup-pairs"), nodes, "places").mapInArrow(run, "a long, b long")
 
 
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -148,9 +202,9 @@ def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of_fp = linked.join(roots, "root").join(fps, "fp").select(F.col("to").alias("a"), F.col("first").alias("b"))
     same = hot_join(nodes.select("node", "fp"), fps, "fp", "n", total)
     of_node = same.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    alike = _verified(_proposed(nodes), nodes, similarity)
-    edges = of_fp.unionByName(of_node).unionByName(alike).filter(F.col("a") != F.col("b"))
-    tied = components(edges, "neardup-groups").filter(F.col("node") != F.col("root"))
+    edges = of_fp.unionByName(of_node).filter(F.col("a") != F.col("b"))
+    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, similarity))
+    tied = every.filter(F.col("node") != F.col("root"))
     return nodes.join(tied, "node", "left_anti").select("doc_id", "th")
 
 

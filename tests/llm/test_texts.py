@@ -275,6 +275,17 @@ def test_one_of_each_group_stays(make, odd, empty):
     assert neardup.deduplicate(empty).count() == 0
 
 
+def test_members_of_a_band_meet_until_tied(spark):
+    """One band of 60, in which links other than those of 37 and one far pair would be wrong."""
+    rows = [(i, [7] * neardup.BANDS, bytes(4 * neardup.PLACES)) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, places binary")
+    nodes = nodes.withColumn("bands", F.slice("bands", 1, 1))
+    known = spark.createDataFrame([], "a long, b long")
+    only = "(a = 37 or b = 37) and least(a, b) >= 2 or least(a, b) = 0 and greatest(a, b) = 1"
+    got = neardup._joined(nodes, known, lambda pairs: pairs.filter(only)).collect()
+    assert {r.node: r.root for r in got if r.node != r.root} == {1: 0} | {i: 2 for i in range(3, 60)}
+
+
 # --- languages -----------------------------------------------------------------------
 
 
