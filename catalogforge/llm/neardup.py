@@ -4,8 +4,8 @@ SimHash links within two bits (``simhash.linked``) find texts that are almost eq
 Texts that share four fifths of their five-word shingles lie about eleven bits apart,
 where a tree over 64 bits prunes nothing, so a second sketch proposes those pairs: bands
 of min-wise hashes. Members of a band meet centres of it, in rounds until all that have not
-met are tied, and a proposed pair counts only if the whole sketches agree in ``similarity``
-of their places. Links of both kinds join in components, of which the smallest ``doc_id`` stays.
+met are tied, and a proposed pair counts if its sets of shingles share ``similarity``.
+Whole sketches only spare far pairs that comparison. Links of both kinds join in components, of which the smallest ``doc_id`` stays.
 
 Defined cases: null texts count as empty, and all texts without words are one group; rows
 that repeat are one document; a null ``doc_id`` counts as larger than any other; an empty
@@ -28,6 +28,8 @@ from catalogforge.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
+# Pairs whose sketches agree in this much less are decided too: four standard errors.
+MARGIN = 0.15
 PLACES = 128
 BANDS, ROWS = 12, 3
 # Members of a band that meet all others in the first round, and how their number grows.
@@ -165,8 +167,8 @@ def _fetched(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return hot_join(pairs, left, "a", "n", pairs.count()).join(right, "b").select("a", "b", "x", "y")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches agree in ``similarity`` of their places."""
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches agree in ``least`` of their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +176,51 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
                 np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, PLACES)
                 for c in batch.columns[2:]
             )
-            same = pa.array((x == y).mean(axis=1) >= similarity)
+            same = pa.array((x == y).mean(axis=1) >= least)
             yield batch.select([0, 1]).filter(same)
 
-    return _fetched(stage(pairs, "neardup-pairs"), nodes, "places").mapInArrow(run, "a long, b long")
+    return _fetched(pairs, nodes, "places").mapInArrow(run, "a long, b long")
+
+
+def _shingled(rows: DataFrame) -> DataFrame:
+    """``node, grams``: the distinct shingle hashes, sorted, for rows of ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            grams = [np.unique(shingles(t.as_py().encode())).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    return rows.mapInArrow(run, "node long, grams binary")
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Shared share of two sorted sets without repeats; two empty sets are equal."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles share ``similarity``, of those whose sketches come near it.
+
+    ``rows`` (``th, text``) are read again for the texts of pairs left to decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(*(map(_grams, c) for c in batch.columns[2:]), strict=True)
+            same = pa.array([jaccard(x, y) >= similarity for x, y in sets], pa.bool_())
+            yield batch.select([0, 1]).filter(same)
+
+    near = stage(_alike(stage(pairs, "neardup-pairs"), nodes, similarity - MARGIN), "neardup-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = nodes.select("node", "th", "doc_id").join(wanted, "node")
+    same = (rows["th"] == named["th"]) & rows["doc_id"].eqNullSafe(named["doc_id"])
+    found = rows.join(named, same).select("node", "text").dropDuplicates(["node"])
+    return _fetched(near, stage(_shingled(found), "neardup-shingles"), "grams").mapInArrow(run, "a long, b long")
+
+
+def _grams(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_py(), "<u8")
 
 
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -203,7 +246,7 @@ def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = hot_join(nodes.select("node", "fp"), fps, "fp", "n", total)
     of_node = same.select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = of_fp.unionByName(of_node).filter(F.col("a") != F.col("b"))
-    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, similarity))
+    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, rows, similarity))
     tied = every.filter(F.col("node") != F.col("root"))
     return nodes.join(tied, "node", "left_anti").select("doc_id", "th")
 

@@ -286,6 +286,36 @@ def test_members_of_a_band_meet_until_tied(spark):
     assert {r.node: r.root for r in got if r.node != r.root} == {1: 0} | {i: 2 for i in range(3, 60)}
 
 
+@pytest.mark.parametrize("place", [0, 30])
+def test_loose_copies_reach_their_original(make, place):
+    """Copies that are close to one original only, which is no early member of its bands."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        copy = base[:]
+        for k in range(5):
+            copy[rnd.randrange(60 * k + 5, 60 * k + 55)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts.insert(place, " ".join(base))
+    assert [r.doc_id for r in neardup.deduplicate(make(list(enumerate(texts)))).collect()] == [0]
+
+
+def test_pairs_are_decided_by_their_shingles(make):
+    """Pairs around the limit: exactly those at 0.8 or more lose their second text."""
+    rnd = random.Random(9)
+    docs, want = [], set()
+    for i in range(40):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(204)]
+        copy = base[:]
+        for k in range(4 + i % 2):
+            copy[20 + 40 * k] = "changed"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        # Shingles that differ: 20 of 200 on each side (0.818), or 25 (0.778).
+        want |= {2 * i} if i % 2 == 0 else {2 * i, 2 * i + 1}
+    assert {r.doc_id for r in neardup.deduplicate(make(docs)).collect()} == want
+
+
 # --- languages -----------------------------------------------------------------------
 
 
