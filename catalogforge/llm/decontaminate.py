@@ -6,7 +6,9 @@ a hash join (then compared in full). Along one alignment of a document with an i
 fills the placeholders must correspond: one filler of the item always stands against the
 same filler of the document. Alignments that fail are dropped; an item counts as leaked
 where windows left cover ``COVERAGE`` of its words. So questions with other numbers or
-names are found, and chance template matches are not.
+names are found, and chance template matches are not. Near copies are found by windows of a
+few words, around which the longest common subsequence of words is taken and held to
+``COVERAGE``; placeholders in it must correspond as well.
 
 Everything is SQL functions. Windows of the benchmark are broadcast only while their
 count is below ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
@@ -44,6 +46,9 @@ _TRAILING = ".,;:!?\"')]}|*#%$&"
 _WORDS = r"[\p{L}\p{N}]\S*+"
 NUM, NAME, UNIT, NUM_UNIT = "<num>", "<name>", "<unit>", "<num><unit>"
 
+# Word sequences compared for near copies, and the placeholders that each keeps.
+FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME)}
+
 
 def words(text: Column | str) -> Column:
     """Runs of non-blanks from their first letter or digit on."""
@@ -161,8 +166,132 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _forms(rows: DataFrame) -> DataFrame:
+    """``templated`` rows with ``low`` (lower-cased words) and ``forms``, the word sequences
+    in which copies may agree, in place of ``words`` and ``canon``."""
+    low = F.transform("words", lambda w: F.lower(_core(w)))
+    lowered = rows.withColumn("low", low)
+    forms = F.array(*[F.col(name) for name in FORMS])
+    for name, kept in FORMS.items():
+        if name != "canon":
+            same = F.zip_with("canon", "low", lambda c, w: F.when(c.isin(*kept), c).otherwise(w) if kept else w)  # noqa: B023
+            lowered = lowered.withColumn(name, same)
+    return lowered.withColumn("forms", forms).drop("words", "canon", *FORMS)
+
+
+def _seeds(rows: DataFrame, spot: Column, lengths: Column) -> DataFrame:
+    """A row for each window of each of ``lengths`` and form: ``pos``, ``len`` and ``h``."""
+    kept = [c for c in rows.columns if c not in ("low", "forms")]
+    placed = rows.withColumn("len", F.explode_outer(lengths)).withColumn("pos", F.explode_outer(spot))
+    cut = [F.slice(F.get("forms", F.lit(k)), F.col("pos") + 1, F.col("len")) for k in range(len(FORMS))]
+    return placed.select(
+        *kept, "pos", "len", F.explode_outer(F.array_distinct(F.array(*[F.xxhash64(c) for c in cut]))).alias("h")
+    ).filter(F.col("pos").isNotNull())
+
+
+def _spots() -> Column:
+    last = F.size("low") - F.col("len")
+    return F.when(last >= 0, F.sequence(F.lit(0), last))
+
+
+def _aligned(a: Column, b: Column, fill_a: Column, fill_b: Column) -> Column:
+    """The longest common subsequence of two word arrays, as ``same`` (its words) and
+    ``pairs`` (what fills each placeholder of it, on either side).
+
+    Step by step over ``a``, element k holds the least end in ``b`` of k common words.
+    """
+    none = F.lit(2**31 - 1)
+    pairs = F.array().cast("array<struct<a:string,b:string>>")
+    start = F.transform(
+        F.sequence(F.lit(0), F.size(a)),
+        lambda k: F.struct(F.when(k == 0, -1).otherwise(none).alias("end"), pairs.alias("pairs")),
+    )
+    places = F.transform(b, lambda w, at: F.struct(w.alias("w"), at.cast("int").alias("at")))
+
+    def step(ends: Column, x: Column) -> Column:
+        met = F.transform(F.filter(places, lambda y: y["w"] == x["w"]), lambda y: y["at"])
+
+        def longer(now: Column, k: Column) -> Column:
+            before = F.get(ends, k - 1)
+            at = F.array_min(F.filter(met, lambda y: y > before["end"]))
+            slot = F.struct(F.concat(x["w"], x["fill"]).alias("a"), F.get(fill_b, at).alias("b"))
+            held = F.when(x["w"].startswith("<"), F.concat(before["pairs"], F.array(slot))).otherwise(before["pairs"])
+            return F.when((k > 0) & (at < now["end"]), F.struct(at.alias("end"), held.alias("pairs"))).otherwise(now)
+
+        return F.when(F.array_contains(b, x["w"]), F.transform(ends, longer)).otherwise(ends)
+
+    steps = F.zip_with(a, fill_a, lambda w, f: F.struct(w.alias("w"), f.alias("fill")))
+    reached = F.aggregate(steps, start, step, lambda ends: F.filter(ends, lambda e: e["end"] < none))
+    return F.transform(
+        F.array(reached), lambda r: F.struct((F.size(r) - 1).alias("same"), F.get(r, F.size(r) - 1)["pairs"].alias("pairs"))
+    )[0]
+
+
+def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``key, item_id, coverage``: items of which ``coverage`` of the words stand in a document
+    in their order, within a quarter of the item's length around a shared short window.
+
+    Windows are so short that an item with as many words replaced or left out as
+    ``coverage`` allows has one intact.
+    """
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+    ).distinct()
+    n = F.size("low")
+    item_words = _forms(templated(items)).withColumn("n", n).filter("n > 0")
+    item_words = stage(item_words.withColumn("item", F.xxhash64("item_id", "low")), "benchmark-words")
+    changed = F.floor(F.col("n") * F.lit(1 - coverage) + F.lit(1e-9))
+    length = F.least(F.ceil((F.col("n") - changed) / (changed + 1)), F.lit(WINDOW)).cast("int")
+    seeds = _seeds(item_words.select("item", "n", "low", "forms"), _spots(), F.array(length))
+    seeds = stage(seeds.distinct(), "benchmark-seeds")
+    size, lengths = seeds.agg(F.count("*"), F.collect_set("len")).first()
+    rows = texts(docs).select(document_key().alias("key"), "text")
+    wanted = F.array(*[F.lit(k) for k in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+    spread = _seeds(_forms(templated(rows)), _spots(), wanted).drop("text")
+    known = seeds.select("h", F.col("len").alias("i_len"), "item", "n", F.col("pos").alias("i_pos"))
+    met = spread.join(F.broadcast(known) if size <= BROADCAST_WINDOWS else known, "h").filter("len = i_len")
+    lines = met.select("key", "item", "n", (F.col("pos") - F.col("i_pos")).alias("line")).distinct()
+    spots = lines.groupBy("key").agg(F.collect_list(F.struct("item", "n", "line")).alias("spots"))
+    # The words around a line: the item's length, and a quarter of it on either side.
+    found = _forms(templated(rows.join(stage(spots, "near-lines"), "key")))
+    slack = lambda s: F.greatest(F.lit(1), F.floor(s["n"] / 4)).cast("int")
+    begin = lambda s: F.greatest(F.lit(0), s["line"] - slack(s))
+    cut = lambda words, s: F.slice(words, begin(s) + 1, s["line"] + s["n"] + slack(s) - begin(s))
+    around = F.transform(
+        "spots",
+        lambda s: F.struct(
+            s["item"].alias("item"), cut(F.col("low"), s).alias("d_low"),
+            F.transform("forms", lambda f: cut(f, s)).alias("d_forms"),
+        ),
+    )
+    around = found.select("key", around.alias("around")).select("key", F.explode("around").alias("r")).select("key", "r.*")
+    both = around.distinct().join(F.broadcast(item_words) if size <= BROADCAST_WINDOWS else item_words, "item")
+    each = both.select(
+        "key", "item_id", "n", "low", "d_low",
+        F.explode(F.arrays_zip(F.col("forms").alias("i"), F.col("d_forms").alias("d"))).alias("f"),
+    ).select("key", "item_id", "n", "low", "d_low", F.col("f.i").alias("i"), F.col("f.d").alias("d"))
+    # As many words at least as can agree in any order.
+    held = F.size(F.filter("i", lambda w: F.array_contains(F.col("d"), w)))
+    each = stage(each.filter(held >= F.col("n") * F.lit(coverage) - 1e-9), "near-places")
+    judged = each.withColumn("best", _aligned(*map(F.col, ("i", "d", "low", "d_low")))).select("key", "item_id", "n", "best.*")
+    fillers = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    plain = F.col("same") - F.size("pairs")
+    evident = (F.size("pairs") == 0) | (
+        (plain >= F.least(F.lit(LITERALS), F.col("n"))) & (plain * WINDOW >= F.col("same") * LITERALS)
+    )
+    fair = judged.filter(evident & (fillers == F.size(F.array_distinct("pairs"))))
+    share = fair.groupBy("key", "item_id").agg(F.max(F.col("same") / F.col("n")).alias("coverage"))
+    return share.filter(F.col("coverage") >= F.lit(coverage))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``key, item_id, coverage``: items leaked into documents; ``key`` as ``document_key``."""
+    every = template_leaks(docs, benchmark, coverage).unionByName(near_copies(docs, benchmark, coverage))
+    return every.groupBy("key", "item_id").agg(F.max("coverage").alias("coverage"))
+
+
+def template_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``key, item_id, coverage``: items whose intact template windows cover ``coverage``."""
     bench = stage(benchmark_windows(benchmark), "benchmark-windows")
     size, lengths = bench.agg(F.count("*"), F.collect_set("len")).first()
     rows = texts(docs).select(document_key().alias("key"), "text")

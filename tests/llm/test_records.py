@@ -215,6 +215,30 @@ def test_op7_templates_and_slots(make, benchmark_items, odd, empty, bound, monke
     assert not any(r.contaminated for r in decontaminate.contamination(odd, benchmark_items.limit(0)).collect())
 
 
+def _around(text):
+    return f"This page opens with words of its own, then {text} and it goes on with others for a while."
+
+
+SUM = "a farmer keeps several brown cows behind the old wooden barn and sells fresh milk every single morning"
+
+
+def _found(make, spark, item, copies):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontaminate.contamination(make([(i, _around(t)) for i, t in enumerate(copies)]), items).collect()
+    return {r.doc_id for r in rows if r.contaminated}
+
+
+def test_op7_near_copies(make, spark):
+    words = SUM.split()
+    replaced = [w if k not in (4, 9, 14) else "other" for k, w in enumerate(words)]
+    inserted = words[:5] + ["quite"] + words[5:11] + ["very"] + words[11:]
+    deleted = words[:6] + words[7:12] + words[13:]
+    half = words[:10]
+    apart = [w if k % 4 else "other" for k, w in enumerate(words)]
+    copies = [" ".join(c) for c in (replaced, inserted, deleted, half, apart)]
+    assert _found(make, spark, SUM, copies) == {0, 1, 2}
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
