@@ -47,7 +47,7 @@ _WORDS = r"[\p{L}\p{N}]\S*+"
 NUM, NAME, UNIT, NUM_UNIT = "<num>", "<name>", "<unit>", "<num><unit>"
 
 # Word sequences compared for near copies, and the placeholders that each keeps.
-FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME)}
+FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME), "caseless": (NUM, NUM_UNIT, UNIT)}
 
 
 def words(text: Column | str) -> Column:

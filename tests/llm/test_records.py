@@ -239,6 +239,12 @@ def test_op7_near_copies(make, spark):
     assert _found(make, spark, SUM, copies) == {0, 1, 2}
 
 
+def test_op7_copies_that_differ_in_case(make, spark):
+    item = "a farmer keeps 12 brown cows behind the old wooden barn and sells fresh milk every single morning"
+    copies = [item.upper(), item.title(), item.upper().replace("12", "31"), SUM[:50].upper()]
+    assert _found(make, spark, item, copies) == {0, 1, 2}
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
