@@ -14,8 +14,9 @@ Everything is SQL functions. Windows of the benchmark are broadcast only while t
 count is below ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
 
 Defined cases: null texts count as empty and leak nothing; an item of fewer words than a
-window is one window of its own length; windows with fewer than ``LITERALS`` plain words
-(or than their length, if shorter) are no evidence; an item that repeats under one id
+window is one window of its own length; matches of placeholders with fewer than
+``LITERALS`` plain words (or than their length, if shorter) are no evidence unless every word
+is the same, so exact copies of items of numbers and names count; an item that repeats under one id
 counts once, under several ids under each; rows equal in ``doc_id`` and text get the same
 result; an empty benchmark leaks nothing; an empty table gives an empty result; further
 columns are ignored.
@@ -47,7 +48,7 @@ _WORDS = r"[\p{L}\p{N}]\S*+"
 NUM, NAME, UNIT, NUM_UNIT = "<num>", "<name>", "<unit>", "<num><unit>"
 
 # Word sequences compared for near copies, and the placeholders that each keeps.
-FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME), "caseless": (NUM, NUM_UNIT, UNIT)}
+FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME), "caseless": (NUM, NUM_UNIT, UNIT), "literal": ()}
 
 
 def words(text: Column | str) -> Column:
@@ -257,14 +258,20 @@ def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
     slack = lambda s: F.greatest(F.lit(1), F.floor(s["n"] / 4)).cast("int")
     begin = lambda s: F.greatest(F.lit(0), s["line"] - slack(s))
     cut = lambda words, s: F.slice(words, begin(s) + 1, s["line"] + s["n"] + slack(s) - begin(s))
+    # Bound as a variable, so that a line does not work the words out again.
+    bound = F.array(F.struct("low", "forms"))
     around = F.transform(
-        "spots",
-        lambda s: F.struct(
-            s["item"].alias("item"), cut(F.col("low"), s).alias("d_low"),
-            F.transform("forms", lambda f: cut(f, s)).alias("d_forms"),
+        bound,
+        lambda w: F.transform(
+            "spots",
+            lambda s: F.struct(
+                s["item"].alias("item"), cut(w["low"], s).alias("d_low"),
+                F.transform(w["forms"], lambda f: cut(f, s)).alias("d_forms"),
+            ),
         ),
     )
-    around = found.select("key", around.alias("around")).select("key", F.explode("around").alias("r")).select("key", "r.*")
+    around = found.select("key", F.get(around, F.lit(0)).alias("around"))
+    around = stage(around.select("key", F.explode_outer("around").alias("r")).select("key", "r.*"), "near-around")
     both = around.distinct().join(F.broadcast(item_words) if size <= BROADCAST_WINDOWS else item_words, "item")
     each = both.select(
         "key", "item_id", "n", "low", "d_low",

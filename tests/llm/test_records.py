@@ -245,6 +245,13 @@ def test_op7_copies_that_differ_in_case(make, spark):
     assert _found(make, spark, item, copies) == {0, 1, 2}
 
 
+def test_op7_items_of_numbers_and_names(make, spark):
+    item = "Compute 12 + 30 * 4 - 7"
+    assert _found(make, spark, item, [item, item.replace("30", "31").replace("4", "9"), "compute"]) == {0}
+    names = "Alice Brown, Carol Davis, Erin Fox, Grace Hill and Ivan Jones"
+    assert _found(make, spark, names, [names, "Tom Gray, Uma Reed, Vera Stone, Will Young and Xena Zane"]) == {0}
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
