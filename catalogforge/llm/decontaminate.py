@@ -212,14 +212,20 @@ def _aligned(a: Column, b: Column, fill_a: Column, fill_b: Column) -> Column:
     def step(ends: Column, x: Column) -> Column:
         met = F.transform(F.filter(places, lambda y: y["w"] == x["w"]), lambda y: y["at"])
 
-        def longer(now: Column, k: Column) -> Column:
+        def longer(now: Column, k: Column, met: Column) -> Column:
             before = F.get(ends, k - 1)
+
+            def to(at: Column) -> Column:
+                slot = F.struct(F.concat(x["w"], x["fill"]).alias("a"), F.get(fill_b, at).alias("b"))
+                held = F.when(x["w"].startswith("<"), F.concat(before["pairs"], F.array(slot))).otherwise(before["pairs"])
+                return F.when((k > 0) & (at < now["end"]), F.struct(at.alias("end"), held.alias("pairs"))).otherwise(now)
+
             at = F.array_min(F.filter(met, lambda y: y > before["end"]))
-            slot = F.struct(F.concat(x["w"], x["fill"]).alias("a"), F.get(fill_b, at).alias("b"))
-            held = F.when(x["w"].startswith("<"), F.concat(before["pairs"], F.array(slot))).otherwise(before["pairs"])
-            return F.when((k > 0) & (at < now["end"]), F.struct(at.alias("end"), held.alias("pairs"))).otherwise(now)
+            return F.get(F.transform(F.array(at), to), F.lit(0))
 
-        return F.when(F.array_contains(b, x["w"]), F.transform(ends, longer)).otherwise(ends)
+        # Bound as variables, so that they are worked out once a step and element.
+        every = F.transform(F.array(met), lambda m: F.transform(ends, lambda now, k: longer(now, k, m)))
+        return F.when(F.array_contains(b, x["w"]), F.get(every, F.lit(0))).otherwise(ends)
 
     steps = F.zip_with(a, fill_a, lambda w, f: F.struct(w.alias("w"), f.alias("fill")))
     reached = F.aggregate(steps, start, step, lambda ends: F.filter(ends, lambda e: e["end"] < none))
@@ -275,7 +281,7 @@ def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
     both = around.distinct().join(F.broadcast(item_words) if size <= BROADCAST_WINDOWS else item_words, "item")
     each = both.select(
         "key", "item_id", "n", "low", "d_low",
-        F.explode(F.arrays_zip(F.col("forms").alias("i"), F.col("d_forms").alias("d"))).alias("f"),
+        F.explode_outer(F.array_distinct(F.arrays_zip(F.col("forms").alias("i"), F.col("d_forms").alias("d")))).alias("f"),
     ).select("key", "item_id", "n", "low", "d_low", F.col("f.i").alias("i"), F.col("f.d").alias("d"))
     # As many words at least as can agree in any order.
     held = F.size(F.filter("i", lambda w: F.array_contains(F.col("d"), w)))
