@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogforge.llm import (
+    alignment,
     bpe,
     decontaminate,
     langid,
+    manifest,
     merkle,
     pii,
     quality,
+    sharding,
     simhash,
     suffix,
     token_files,
@@ -135,3 +138,114 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2("kept", 256).alias("kept_sha256")
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summary(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.Manifest(table(spark, sf_dir, "documents")).checks()
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The tree of each source and the one above, level by level; enough for 16 ** ``levels`` leaves."""
+    parts = [
+        """WITH bits AS (
+        SELECT list_transform(range(0, 256), lambda n: list_reduce(
+            [n, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+    ), heads AS (
+        SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+            || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+            xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+                    range(1, strlen(CAST(doc_id AS VARCHAR)) + 1),
+                    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT))),
+                lambda c, b: xor(c // 256, crc[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) AS sum
+        FROM documents, bits
+    ), leaves AS (
+        SELECT doc_id, coalesce('+' || source, '') AS tree,
+            sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            CASE WHEN coalesce(sum % 5 = 0, false)
+                THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) END AS changed
+        FROM heads
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM leaves
+    ), s0 AS (SELECT tree, spot, leaf AS d FROM placed)"""
+    ]
+
+    def tree(name: str) -> str:
+        """Levels above ``name0`` (``tree, spot, d``); a tree of one node stays as it is."""
+        out = ""
+        for i in range(levels):
+            out += f""", {name}{i + 1} AS (
+        SELECT tree, spot // 16 AS spot,
+            CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY spot)) ELSE any_value(d) END AS d
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{i}) GROUP BY tree, spot // 16)"""
+        return out
+
+    def fold(name: str, source: str, base: str) -> str:
+        """Takes each row of ``source`` (``tree, spot, others, folded``) up the levels of ``name``."""
+        out, before = "", source
+        for i in range(levels):
+            out += f""", {name}runs{i} AS (
+        SELECT tree, spot // 16 AS up, list(d ORDER BY spot) AS ds, any_value(n) AS n
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {base}{i}) GROUP BY tree, spot // 16
+    ), {name}{i + 1} AS (
+        SELECT f.* EXCLUDE (spot, others, folded), f.spot // 16 AS spot,
+            CASE WHEN n > 1 THEN others || array_to_string(ds[1:k], '') || array_to_string(ds[k + 2:], '')
+                ELSE others END AS others,
+            CASE WHEN n > 1 THEN sha256(array_to_string(ds[1:k], '') || folded || array_to_string(ds[k + 2:], ''))
+                ELSE folded END AS folded
+        FROM (SELECT *, CAST(spot % 16 AS BIGINT) AS k FROM {before}) f
+        JOIN {name}runs{i} r ON f.tree = r.tree AND f.spot // 16 = r.up)"""
+            out = out.replace("f.* EXCLUDE (spot, others, folded)", "f.* EXCLUDE (spot, others, folded, k)")
+            before = f"{name}{i + 1}"
+        return out
+
+    parts.append(tree("s"))
+    parts.append(
+        f""", ordered AS (
+        SELECT tree AS source_tree, d AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM s{levels}
+    ), t0 AS (SELECT 0 AS tree, place AS spot, subroot AS d FROM ordered)"""
+    )
+    parts.append(tree("t"))
+    parts.append(
+        """, begun AS (
+        SELECT tree, spot, doc_id, leaf, '' AS others, coalesce(changed, leaf) AS folded FROM placed)"""
+    )
+    parts.append(fold("up", "begun", "s"))
+    parts.append(
+        f""", sources AS (
+        SELECT 0 AS tree, o.place AS spot, u.doc_id, u.leaf, o.subroot, u.others, u.folded
+        FROM up{levels} u JOIN ordered o ON u.tree = o.source_tree)"""
+    )
+    parts.append(fold("top", "sources", "t"))
+    parts.append(
+        f"""
+    SELECT doc_id, leaf, subroot, d AS root, sha256(others) AS proof_sha256, folded AS folded_root, folded = d AS verified
+    FROM top{levels}, t{levels}"""
+    )
+    return "".join(parts)
+
+
+ORACLES["op13_merkle_manifest"] = _manifest_sql()
