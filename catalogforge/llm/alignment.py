@@ -39,7 +39,7 @@ from catalogforge.session import stage
 
 PIECE_MODEL = "piece_bpe_32k.model"
 # Bytes of text that are aligned together and share one table of pairs.
-SLICE = 6 << 20
+SLICE = 3 << 20
 # A pair is one number: its A id times this, and its B id.
 SPAN = 1 << 31
 
@@ -51,7 +51,8 @@ class Tokens:
         self.buffer = np.frombuffer(b"".join(spelled), np.uint8)
         self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pieces = Pieces(encode, split, lead=True, check=self._spells)
+        blank = np.array([s.startswith(b" ") for s in spelled], bool)
+        self.pieces = Pieces(encode, split, blank, lead=True, check=self._spells)
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         return spread(self.buffer, self.starts[ids], self.lengths[ids])
@@ -126,11 +127,11 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last:
         if not len(low):
             return cut
         middle = (low + high - 1) // 2
-        found = np.full(len(low), -1)
-        left, near, far = np.arange(len(low)), 0, 0
+        found = np.where(_shared(ends_a[middle], ends_b), middle, -1)
+        left, near, far = np.flatnonzero((found < 0) & (high - low > 1)), 1, 1
         while len(left):
             parts, owners = [], []
-            for side_low, side_high in ((near, far), (-far, -near)) if far else ((0, 0),):
+            for side_low, side_high in ((near, far), (-far, -near)):
                 a = np.maximum(middle[left] + side_low, low[left])
                 b = np.minimum(middle[left] + side_high, high[left] - 1)
                 sizes = np.maximum(b - a + 1, 0)
@@ -139,8 +140,7 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last:
                 parts.append(np.arange(total) + np.repeat(a - (ends - sizes), sizes))
                 owners.append(np.repeat(left, sizes))
             at, owner = np.concatenate(parts), np.concatenate(owners)
-            place = np.searchsorted(ends_b, ends_a[at])
-            hit = ends_b[np.minimum(place, len(ends_b) - 1)] == ends_a[at]
+            hit = _shared(ends_a[at], ends_b)
             at, owner = at[hit], owner[hit]
             order = np.lexsort((at, np.abs(at - middle[owner]), owner))
             at, owner = at[order], owner[order]
@@ -151,12 +151,18 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last:
             left = rest[(middle[rest] - near >= low[rest]) | (middle[rest] + near < high[rest])]
         split = found >= 0
         cut[found[split]] = True
+        # Halves stay in order, so that bisection walks through the ends.
         low, high = (
-            np.concatenate([low[split], found[split] + 1]),
-            np.concatenate([found[split], high[split]]),
+            np.column_stack([low[split], found[split] + 1]).ravel(),
+            np.column_stack([found[split], high[split]]).ravel(),
         )
 
 
+def _shared(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``ends`` bisection finds in ``others``, whose last is not exceeded."""
+    return others[np.searchsorted(others, ends)] == ends
+
+
 class Aligned:
     """The tokens of some texts, their groups, and the links within those."""
 

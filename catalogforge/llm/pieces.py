@@ -14,8 +14,8 @@ import numpy as np
 
 # Characters of text taken at a time, and bytes that the table of pieces may hold.
 SEGMENT = 1 << 20
-MEMORY = 64 << 20
-# Longer pieces are not remembered.
+MEMORY = 96 << 20
+# Longer pieces are not remembered, though their ids take memory until the table starts afresh.
 LONGEST = 64
 # What a remembered piece takes besides its letters and ids.
 ENTRY = 160
@@ -25,6 +25,10 @@ BLANK_RUN = re.compile(r" (?:\s|\Z)")
 BORDER = re.compile(r" (?=\S)")
 AFTER_TEXT = re.compile(r"(?<=[^ ]) ")
 
+# Pieces go to the library joined to about so many characters.
+JOINED = 1 << 14
+
+# Ids of each text of a list.
 Encode = Callable[[list[str]], list[list[int]]]
 
 
@@ -53,29 +57,50 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class Known(dict):
+    """Places of pieces in a table; those met for the first time are listed as ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str | tuple[str]] = []
+        self.places = 0
+
+    def __missing__(self, piece: str | tuple[str]) -> int:
+        place = self.places
+        self.places += 1
+        self.fresh.append(piece)
+        if len(piece if isinstance(piece, str) else piece[0]) <= LONGEST:
+            self[piece] = place
+        return place
+
+
 class Pieces:
     """Ids of texts by ``encode``, which gets pieces with the blank before them.
 
-    ``lead``: a text begins with a blank of its own, so its first piece is like the others.
-    ``check``: what of each new piece's ids to remember, such as whether they spell it.
+    ``blank`` says of each id whether it begins with a blank: new pieces are encoded joined,
+    and those ids tell where one ends. ``lead``: a text begins with a blank of its own, so its
+    first piece is like the others. ``check``: what of each new piece's ids to remember, such
+    as whether they spell it.
     """
 
     def __init__(
         self,
         encode: Encode,
         split: Callable[[str], list[str]],
+        blank: np.ndarray,
         lead: bool,
         check: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray] | None = None,
         memory: int = MEMORY,
     ):
-        self.library, self.split, self.lead, self.check, self.memory = encode, split, lead, check, memory
+        self.library, self.split, self.blank = encode, split, blank
+        self.lead, self.check, self.memory = lead, check, memory
         self._forget()
 
     def _forget(self) -> None:
         # First pieces without a blank are kept apart as tuples.
-        self.known: dict[str | tuple[str], int] = {}
-        self.values, self.held = np.zeros(0, np.int32), 0
-        self.sizes, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known, self.held = Known(), 0
+        self.values, self.good = np.zeros(0, np.int32), np.zeros(0, bool)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, how many each text has, and whether ``check`` held for all its pieces."""
@@ -115,47 +140,63 @@ class Pieces:
         return joined, np.array(sizes, np.int64), np.array(good, bool)
 
     def _look_up(self, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fresh = sorted(set(parts).difference(self.known), key=lambda p: len(_text(p)) > LONGEST)
-        before = len(self.known)
-        if fresh:
-            self._learn(fresh)
         index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        if self.known.fresh:
+            self._learn(self.known.fresh)
+            self.known.fresh = []
         lengths, fine = self.sizes[index], self.good[index]
-        out = spread(self.values, np.cumsum(self.sizes)[index] - lengths, lengths)
+        out = spread(self.values, self.starts[index], lengths)
         if self.held > self.memory:
             self._forget()
-        else:
-            self._drop_long(fresh, before)
         return out, lengths, fine
 
     def _learn(self, fresh: list) -> None:
         spelled = [" " + p if isinstance(p, str) else p[0] for p in fresh]
-        ids = self.library(spelled)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        values, sizes = self._encoded(spelled)
         good = np.ones(len(fresh), bool) if self.check is None else self.check(spelled, values, sizes)
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        start = len(self.values)
         self.values = np.concatenate([self.values, values])
+        self.starts = np.concatenate([self.starts, start + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.good = np.concatenate([self.good, good])
         self.held += ENTRY * len(fresh) + 4 * len(values) + sum(map(len, spelled))
 
-    def _drop_long(self, fresh: list, before: int) -> None:
-        """Lets go of the long ones of the pieces just met, which stand last in the table."""
-        while fresh and len(_text(fresh[-1])) > LONGEST:
-            piece = fresh.pop()
-            self.held -= ENTRY + 4 * int(self.sizes[self.known.pop(piece)]) + len(_text(piece))
-        kept = before + len(fresh)
-        self.values = self.values[: int(self.sizes[:kept].sum())]
-        self.sizes, self.good = self.sizes[:kept], self.good[:kept]
-
-
-def _text(piece: str | tuple[str]) -> str:
-    return piece if isinstance(piece, str) else piece[0]
-
-
-def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``values[start : start + length]`` of each pair, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    def _encoded(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces: joined where one blank stands before text and nowhere else."""
+        plain = [len(p) > 1 and p.rfind(" ") == 0 and not p[1].isspace() for p in spelled]
+        runs: list[list[str]] = []
+        length = JOINED
+        for piece, fit in zip(spelled, plain, strict=True):
+            if length >= JOINED or not fit:
+                runs.append([])
+                length = 0
+            runs[-1].append(piece)
+            length = length + len(piece) if fit else JOINED
+        ids = [np.array(x, np.int32) for x in self.library(["".join(r) for r in runs])]
+        sizes: list[np.ndarray] = []
+        for at, (run, found) in enumerate(zip(runs, ids, strict=True)):
+            if len(run) == 1:
+                sizes.append(np.array([len(found)]))
+                continue
+            starts = np.flatnonzero(self.blank[found])
+            if len(starts) == len(run) and starts[0] == 0:
+                sizes.append(np.diff(starts, append=len(found)))
+            else:
+                single = self.library(run)
+                sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
+                ids[at] = np.array([i for x in single for i in x], np.int32)
+        none = [np.zeros(0, np.int32)]
+        return np.concatenate(ids or none), np.concatenate(sizes or none).astype(np.int64)
+
+
+def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """``values[start : start + length]`` of each pair, one after the other, some pairs at a time."""
+    out = np.empty(int(lengths.sum()), values.dtype)
+    filled = 0
+    for at in range(0, len(lengths), block):
+        first, size = starts[at : at + block], lengths[at : at + block]
+        ends = np.cumsum(size)
+        n = int(ends[-1])
+        out[filled : filled + n] = values[np.arange(n) + np.repeat(first - (ends - size), size)]
+        filled += n
+    return out

@@ -164,7 +164,8 @@ def test_pieces_give_what_the_libraries_give(libraries, memory, monkeypatch):
 
 def test_first_pieces_without_a_blank(libraries):
     a, _ = libraries
-    pieces = Pieces(lambda p: [a.encode(x, add_special_tokens=False).ids for x in p], byte_level, lead=False)
+    blank = np.array([(a.id_to_token(i) or "").startswith("Ġ") for i in range(a.get_vocab_size())])
+    pieces = Pieces(lambda p: [a.encode(x, add_special_tokens=False).ids for x in p], byte_level, blank, lead=False)
     for text in ("the the", "the", " the", "", "a  b"):
         ids, sizes, _ = pieces.encode([text, text])
         assert ids.tolist() == 2 * a.encode(text, add_special_tokens=False).ids
