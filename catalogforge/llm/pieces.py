@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 
 # Characters of text taken at a time, and bytes that the table of pieces may hold.
-SEGMENT = 1 << 20
-MEMORY = 96 << 20
+SEGMENT = 2 << 20
+MEMORY = 80 << 20
 # Longer pieces are not remembered, though their ids take memory until the table starts afresh.
 LONGEST = 64
 # What a remembered piece takes besides its letters and ids.
@@ -25,8 +26,8 @@ BLANK_RUN = re.compile(r" (?:\s|\Z)")
 BORDER = re.compile(r" (?=\S)")
 AFTER_TEXT = re.compile(r"(?<=[^ ]) ")
 
-# Pieces go to the library joined to about so many characters.
-JOINED = 1 << 14
+# So many new pieces at most go to the library joined.
+JOINED = 4000
 
 # Ids of each text of a list.
 Encode = Callable[[list[str]], list[list[int]]]
@@ -58,18 +59,17 @@ def segments(text: str) -> Iterator[str]:
 
 
 class Known(dict):
-    """Places of pieces in a table; those met for the first time are listed as ``fresh``."""
+    """Places of pieces in a table of ``places``; those that it lacks are listed as ``fresh``."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, pieces: Iterable[str | tuple[str]] = ()):
+        super().__init__((p, i) for i, p in enumerate(pieces))
         self.fresh: list[str | tuple[str]] = []
-        self.places = 0
+        self.places = len(self)
 
     def __missing__(self, piece: str | tuple[str]) -> int:
-        place = self.places
-        self.places += 1
+        place = self.places + len(self.fresh)
         self.fresh.append(piece)
-        if len(piece if isinstance(piece, str) else piece[0]) <= LONGEST:
+        if len(piece) <= LONGEST:
             self[piece] = place
         return place
 
@@ -100,7 +100,17 @@ class Pieces:
         # First pieces without a blank are kept apart as tuples.
         self.known, self.held = Known(), 0
         self.values, self.good = np.zeros(0, np.int32), np.zeros(0, bool)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Keeps the pieces met more than once since the last time, if they are few enough."""
+        kept = [(p, i) for p, i in self.known.items() if self.uses[i] > 1]
+        pieces, places = [p for p, _ in kept], np.array([i for _, i in kept], np.int64)
+        starts, sizes, good, values = self.starts[places], self.sizes[places], self.good[places], self.values
+        self._forget()
+        if 2 * (ENTRY * len(kept) + 4 * int(sizes.sum())) < self.memory:
+            self.known = Known(pieces)
+            self._add(pieces, spread(values, starts, sizes), sizes, good)
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, how many each text has, and whether ``check`` held for all its pieces."""
@@ -141,37 +151,45 @@ class Pieces:
 
     def _look_up(self, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        if self.known.fresh:
-            self._learn(self.known.fresh)
+        if fresh := self.known.fresh:
+            bare = [i for i, p in enumerate(fresh) if p.__class__ is tuple]
+            spelled = [" " + p if p.__class__ is str else p[0] for p in fresh]
+            values, sizes = self._encoded(spelled, bare)
+            good = np.ones(len(fresh), bool) if self.check is None else self.check(spelled, values, sizes)
+            self._add(spelled, values, sizes, good)
+            self.known.places += len(fresh)
             self.known.fresh = []
+        self.uses += np.bincount(index, minlength=len(self.uses))
         lengths, fine = self.sizes[index], self.good[index]
         out = spread(self.values, self.starts[index], lengths)
         if self.held > self.memory:
-            self._forget()
+            self._trim()
         return out, lengths, fine
 
-    def _learn(self, fresh: list) -> None:
-        spelled = [" " + p if isinstance(p, str) else p[0] for p in fresh]
-        values, sizes = self._encoded(spelled)
-        good = np.ones(len(fresh), bool) if self.check is None else self.check(spelled, values, sizes)
+    def _add(self, pieces: list, values: np.ndarray, sizes: np.ndarray, good: np.ndarray) -> None:
+        """New rows at the end of the table."""
         start = len(self.values)
         self.values = np.concatenate([self.values, values])
         self.starts = np.concatenate([self.starts, start + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.good = np.concatenate([self.good, good])
-        self.held += ENTRY * len(fresh) + 4 * len(values) + sum(map(len, spelled))
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.held += ENTRY * len(pieces) + 4 * len(values) + sum(map(len, pieces))
 
-    def _encoded(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of pieces: joined where one blank stands before text and nowhere else."""
-        plain = [len(p) > 1 and p.rfind(" ") == 0 and not p[1].isspace() for p in spelled]
+    def _encoded(self, spelled: list[str], bare: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces: joined where one blank stands before text and nowhere else.
+
+        ``bare`` are the places of pieces without the blank before them.
+        """
+        stops = sorted({*range(0, len(spelled), JOINED), *bare, *(i + 1 for i in bare), len(spelled)})
         runs: list[list[str]] = []
-        length = JOINED
-        for piece, fit in zip(spelled, plain, strict=True):
-            if length >= JOINED or not fit:
-                runs.append([])
-                length = 0
-            runs[-1].append(piece)
-            length = length + len(piece) if fit else JOINED
+        for a, b in pairwise(stops):
+            run = spelled[a:b]
+            text = "".join(run)
+            if b - a > 1 and (text.count(" ") != b - a or BLANK_RUN.search(text)):
+                runs += [[p] for p in run]
+            else:
+                runs.append(run)
         ids = [np.array(x, np.int32) for x in self.library(["".join(r) for r in runs])]
         sizes: list[np.ndarray] = []
         for at, (run, found) in enumerate(zip(runs, ids, strict=True)):

@@ -9,25 +9,25 @@ sizes, and pages carry column indexes, so a range of documents reads its own pag
 
 Defined cases: null texts count as empty and hold the end id alone; a null ``doc_id``
 comes first; rows with equal ids come in the order of their texts; an empty table
-writes no rows; further columns are ignored.
+writes no rows; further columns are ignored. Long texts are encoded in parts cut at blanks
+between words; the ids of one document are one list, so it may have 2**31 of them at most.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogforge.llm.bpe import PATTERN, pieces, vocabulary_path
+from catalogforge.llm.bpe import vocabulary_path
 from catalogforge.llm.common import slices, texts
+from catalogforge.llm.pieces import Pieces, byte_level
 
 END_ID = 0
 SCHEMA = "doc_id long, shard int, place long, n_tokens int, ids array<int>"
@@ -47,33 +47,16 @@ LAYOUT = {
 }
 
 SLICE = 4 << 20
-# Each memory holds twice as many: what was used since it last filled, and before.
-WORDS, PIECES = 450_000, 350_000
 
 _tokenizers: dict[str, Tokenizing] = {}
 
 
-class Recent(dict):
-    """Remembers what ``make`` gave; when ``limit`` keys are met, those not used since the
-    last time are forgotten."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.before = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Tokenizing:
-    """The tokenizers library behind bounded caches of words and of pieces between blanks."""
+    """The tokenizers library behind a bounded table of the pieces between blanks.
+
+    A byte-level pre-token encodes alone, and none crosses a blank before a non-blank. A
+    text with the string of an added token goes to the library whole.
+    """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,24 +66,26 @@ class Tokenizing:
         self.library.no_truncation()
         self.library.no_padding()
         self.stops = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        split = regex.compile(PATTERN).findall
-        words = Recent(self.whole, WORDS).__getitem__
-        self.first = lambda p: b"".join(map(words, split(p)))
-        self.later = Recent(lambda p: self.first(" " + p), PIECES)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers.
-
-        A byte-level pre-token encodes alone, and none crosses a blank before a
-        non-blank. A text with the string of an added token goes to the library whole.
-        """
-        if any(s in text for s in self.stops):
-            return self.whole(text)
-        parts = pieces(text)
-        return self.first(parts[0]) + b"".join(map(self.later.__getitem__, parts[1:]))
+        size = self.library.get_vocab_size()
+        # The letter that byte-level vocabularies write for a blank.
+        blank = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.pieces = Pieces(self.encoded, byte_level, blank, lead=False)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and how many each has."""
+        stopped = [any(s in t for s in self.stops) for t in batch]
+        values, sizes, _ = self.pieces.encode("" if s else t for s, t in zip(stopped, batch, strict=True))
+        if not any(stopped):
+            return values, sizes
+        ends = np.cumsum(sizes)
+        found = [
+            np.array(self.encoded([t])[0], np.int32) if s else values[b - n : b]
+            for s, t, n, b in zip(stopped, batch, sizes, ends, strict=True)
+        ]
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
 
 def _tokenizing(source: str) -> Tokenizing:
@@ -114,16 +99,15 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     spark = docs.sparkSession
     with open(path or vocabulary_path(), encoding="utf-8") as file:
         source = spark.sparkContext.broadcast(file.read())
-    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, place = _tokenizing(source.value), 0
         shard = TaskContext.get().partitionId()
         for batch in slices(batches, "text", SLICE):
-            found = [library.encode(t.as_py()) + end for t in batch.column(1)]
-            sizes = np.array([len(x) // 4 for x in found], np.int32)
+            found, lengths = library.encode(batch.column(1).to_pylist())
+            values = np.insert(found, np.cumsum(lengths), end_id)
+            sizes = (lengths + 1).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.frombuffer(b"".join(found), np.int32)
             arrays = [
                 batch.column(0),
                 pa.array(np.full(len(sizes), shard, np.int32)),
