@@ -272,8 +272,12 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                             found.append(record)
                         yield pa.RecordBatch.from_pylist(found, kinds)
 
-    names = index.select("bundle").distinct()
-    return names.mapInArrow(run, RECORD)
+    # As many tasks as bundles, up to those that a shuffle of the session has four times over; a
+    # count that is given is kept, where a few short names would else be merged into one task.
+    names = stage(index.select("bundle").distinct(), "warc-bundles")
+    tasks = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = names.repartition(max(1, min(names.count(), tasks)))
+    return dealt.mapInArrow(run, RECORD)
 
 
 def read_record(entry: dict) -> dict:
