@@ -426,6 +426,15 @@ filed AS (
 
 TOTALS = """totals AS (SELECT "artistSlug", CAST(sum("size") AS BIGINT) AS bytes,
     CAST(sum(duration) AS BIGINT) AS seconds FROM tracks GROUP BY 1)"""
+# Words of every document, with their places.
+WORDS = """split AS (
+        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'),
+            lambda w: w <> '') AS words
+        FROM documents
+    ), words AS (
+        SELECT doc_id, unnest(words) AS term, unnest(range(0, len(words))) AS place FROM split
+    )"""
+
 POSTINGS = r"""postings AS (
     SELECT term, doc_id, count(*) AS hits
     FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term
@@ -702,6 +711,29 @@ ORACLES: dict[str, str] = {
     "t1_best_matches": f"""WITH {POSTINGS} SELECT doc_id, count(*) AS matched,
         CAST(sum(hits) AS BIGINT) AS hits FROM postings WHERE term IN ('the', 'of', 'la')
         GROUP BY doc_id ORDER BY matched DESC, hits DESC, doc_id LIMIT 10""",
+    "t1_ranked_search": f"""WITH {WORDS}, lengths AS (
+            SELECT doc_id, len(words) AS length FROM split
+        ), totals AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths), asked AS (
+            SELECT doc_id, term, count(*) AS hits FROM words WHERE term IN ('with', 'this', 'from', 'la')
+            GROUP BY doc_id, term
+        ), rarity AS (
+            SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS r
+            FROM asked, totals GROUP BY term
+        )
+        SELECT doc_id, count(*) AS matched,
+            round(sum(r * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+        FROM asked JOIN rarity USING (term) JOIN lengths USING (doc_id), totals
+        GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
+    "t1_phrase_search": f"""WITH {WORDS}
+        SELECT a.doc_id, count(*) AS hits FROM words a JOIN words b
+            ON a.doc_id = b.doc_id AND b.place = a.place + 1 AND a.term = 'of' AND b.term = 'the'
+        GROUP BY a.doc_id""",
+    "t1_prefix_search": f"""WITH {WORDS}
+        SELECT doc_id, count(DISTINCT term) AS matched, count(*) AS hits FROM words
+        WHERE term LIKE 'tha%' GROUP BY doc_id""",
+    "t1_completions": f"""WITH {WORDS}
+        SELECT term, count(DISTINCT doc_id) AS texts, count(*) AS hits FROM words
+        WHERE term LIKE 'tha%' GROUP BY term""",
     "q1_require_rows": f"WITH {parse()}, {DEDUPED} SELECT {_UNIQUE} AS unique_rows",
     "q2_reconcile": f"""WITH {parse()}, {DEDUPED}
         SELECT (SELECT CAST(sum(n_rows) AS BIGINT) FROM sources) AS expected_rows,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogforge import functions as C
-from catalogforge.operators import browse, dedup, entities, parsing, report, search, tracks
+from catalogforge.operators import browse, dedup, entities, inverted, parsing, report, search, tracks
 from catalogforge.operators.ordering import global_positions
 from catalogforge.session import scratch_path
 from catalogforge.sources import exports, tables
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 LOOKUP = "nation_3"
 BASE = "/music"
 TERMS = ("The", "of", "la")
+RANKED, PHRASE, PREFIX = ("with", "This", "from", "la"), ("of", "the"), "Tha"
 
 
 def query(fn: Query) -> Query:
@@ -856,6 +857,32 @@ def t1_best_matches(spark, sf):
     return search.best_matches(search.keyword_search(postings, "doc_id", TERMS), "doc_id")
 
 
+def word_index(spark, sf):
+    path = scratch_path(spark, "word-index")
+    inverted.build_index(table(spark, sf, "documents"), "doc_id", "text", path)
+    return inverted.Index(spark, path)
+
+
+@query
+def t1_ranked_search(spark, sf):
+    return word_index(spark, sf).ranked(RANKED).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def t1_phrase_search(spark, sf):
+    return word_index(spark, sf).phrase(PHRASE).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def t1_prefix_search(spark, sf):
+    return word_index(spark, sf).prefix(PREFIX).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def t1_completions(spark, sf):
+    return word_index(spark, sf).completions(PREFIX)
+
+
 @query
 def q1_require_rows(spark, sf):
     run = parsed(spark, sf)
