@@ -9,7 +9,8 @@ Whole sketches only spare far pairs that comparison. Links of both kinds join in
 
 Defined cases: null texts count as empty, and all texts without words are one group; rows
 that repeat are one document; a null ``doc_id`` counts as larger than any other; an empty
-table gives an empty result; further columns are kept as they are.
+table gives an empty result; further columns are kept as they are. A text of any length
+is sketched whole in the task that reads it; its set of shingles (8 bytes a word) is one row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogforge.llm import simhash
@@ -31,7 +32,9 @@ SIMILARITY = 0.8
 # Pairs whose sketches agree in this much less are decided too: four standard errors.
 MARGIN = 0.15
 PLACES = 128
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 20, 6
+# Pairs of one text beyond so many meet a further copy of what it is compared by.
+SPLIT = 2000
 # Members of a band that meet all others in the first round, and how their number grows.
 CENTRES, GROWTH = 4, 4
 SLICE = 4 << 20
@@ -130,6 +133,7 @@ def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], Da
     scores = stage(_central(crowded, nodes), "neardup-scores")
     live = live.join(scores, "node", "left").select("band", "node", F.coalesce("score", F.lit(0)).alias("score"))
     live, links, most = stage(live, "neardup-live"), known, CENTRES
+    decided: DataFrame | None = None
     while True:
         tied = components(links, "neardup-groups")
         named = stage(
@@ -152,19 +156,32 @@ def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], Da
         met = hot_join(rest.select("band", "node", "root"), table, "band", "n", total)
         other = F.filter("centres", lambda c: c["root"] != F.col("root"))
         pairs = met.select(F.col("node").alias("b"), F.explode(other).alias("c")).select(F.col("c.node").alias("a"), "b")
-        new = stage(verify(pairs.distinct()), "neardup-links")
+        # A pair that another band has proposed before is decided.
+        fresh = pairs.distinct() if decided is None else pairs.distinct().join(decided, ["a", "b"], "left_anti")
+        fresh = stage(fresh, "neardup-pairs")
+        decided = fresh if decided is None else decided.unionByName(fresh)
+        new = stage(verify(fresh), "neardup-links")
         links = tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
         live = rest.join(chosen, ["band", "node"], "left_anti").select("band", "node", "score")
         most *= GROWTH
 
 
 def _fetched(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``a, b, x, y``: ``column`` of both nodes of each pair."""
+    """``a, b, x, y``: ``column`` of both nodes of each pair.
+
+    A text of very many pairs has one copy of its column for every ``SPLIT`` of them; only
+    the number of copies is ever broadcast.
+    """
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    copies = stage(counts.select("a", "n", F.ceil(F.col("n") / SPLIT).cast("int").alias("copies")), "neardup-copies")
+    salted = hot_join(pairs, copies, "a", "n", pairs.count()).select(
+        "a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("salt")
+    )
     known = table.select("node", column)
-    left = known.withColumnsRenamed({"node": "a", column: "x"}).join(counts, "a")
+    left = known.withColumnsRenamed({"node": "a", column: "x"}).join(copies, "a")
+    left = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     right = known.withColumnsRenamed({"node": "b", column: "y"})
-    return hot_join(pairs, left, "a", "n", pairs.count()).join(right, "b").select("a", "b", "x", "y")
+    return salted.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "x", "y")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -183,20 +200,27 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
-    """``node, grams``: the distinct shingle hashes, sorted, for rows of ``node, text``."""
+    """``node, grams``: the distinct shingle hashes for rows of ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            grams = [np.unique(shingles(t.as_py().encode())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
+            found = [np.unique(shingles(t.as_py().encode())) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            values = np.concatenate(found).view(np.int64)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["node", "grams"])
 
-    return rows.mapInArrow(run, "node long, grams binary")
+    return rows.mapInArrow(run, "node long, grams array<long>")
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Shared share of two sorted sets without repeats; two empty sets are equal."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
+def _jaccard(x: str, y: str) -> Column:
+    """Shared share of two arrays without repeats; two empty ones are equal.
+
+    Computed a row at a time, so no batch of pairs holds many arrays at once.
+    """
+    common = F.size(F.array_intersect(x, y))
+    either = F.size(x) + F.size(y) - common
+    return F.when(either == 0, 1.0).otherwise(common / either)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -204,23 +228,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
 
     ``rows`` (``th, text``) are read again for the texts of pairs left to decide.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(*(map(_grams, c) for c in batch.columns[2:]), strict=True)
-            same = pa.array([jaccard(x, y) >= similarity for x, y in sets], pa.bool_())
-            yield batch.select([0, 1]).filter(same)
-
-    near = stage(_alike(stage(pairs, "neardup-pairs"), nodes, similarity - MARGIN), "neardup-near")
+    near = stage(_alike(pairs, nodes, similarity - MARGIN), "neardup-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = nodes.select("node", "th", "doc_id").join(wanted, "node")
     same = (rows["th"] == named["th"]) & rows["doc_id"].eqNullSafe(named["doc_id"])
     found = rows.join(named, same).select("node", "text").dropDuplicates(["node"])
-    return _fetched(near, stage(_shingled(found), "neardup-shingles"), "grams").mapInArrow(run, "a long, b long")
-
-
-def _grams(value: pa.BinaryScalar) -> np.ndarray:
-    return np.frombuffer(value.as_py(), "<u8")
+    both = _fetched(near, stage(_shingled(found), "neardup-shingles"), "grams")
+    return both.filter(_jaccard("x", "y") >= similarity).select("a", "b")
 
 
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
