@@ -8,6 +8,7 @@ are kept as rows with a position; arrays are only ever built in bounded parts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ CLOUD_SIZE = 50
 NAMES_SHOWN = 2
 SAMPLE_SIZE = 10
 SAMPLE_MEMBERS = 3
+# A sketch has 2 ** this places.
+SKETCH_BITS = 14
 
 
 def entity_summary(
@@ -92,13 +95,51 @@ def facet_values(tracks: DataFrame, column: str) -> DataFrame:
     return global_positions(values, [column])
 
 
+def _distinct(tracks: DataFrame, slug: str) -> DataFrame:
+    """How many values a column has, nulls left out: distinct in every task, then in all."""
+    return tracks.select(slug).filter(F.col(slug).isNotNull()).distinct().agg(F.count(F.lit(1)))
+
+
+def distinct_slugs(tracks: DataFrame) -> DataFrame:
+    """``totalArtists, totalAlbums`` in one row."""
+    one = tracks.agg(F.lit(1).alias("one"))
+    return one.select(
+        _distinct(tracks, "artistSlug").scalar().alias("totalArtists"),
+        _distinct(tracks, "albumSlug").scalar().alias("totalAlbums"),
+    )
+
+
+def slug_sketches(tracks: DataFrame) -> DataFrame:
+    """One row of HLL sketches, to be stored with a run and merged with those of others."""
+    return tracks.agg(
+        F.hll_sketch_agg("artistSlug", SKETCH_BITS).alias("artists"),
+        F.hll_sketch_agg("albumSlug", SKETCH_BITS).alias("albums"),
+    )
+
+
+def merged_sketches(parts: Sequence[DataFrame]) -> DataFrame:
+    """The sketches of all parts together."""
+    return reduce(DataFrame.unionByName, parts).agg(
+        F.hll_union_agg("artists").alias("artists"), F.hll_union_agg("albums").alias("albums")
+    )
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``totalArtists, totalAlbums`` as estimated; their standard error is below one in a hundred."""
+    return sketches.select(
+        F.hll_sketch_estimate("artists").alias("totalArtists"),
+        F.hll_sketch_estimate("albums").alias("totalAlbums"),
+    )
+
+
 def collection_stats(tracks: DataFrame) -> DataFrame:
-    """One row of totals over the track table."""
+    """One row of totals over the track table.
+
+    Each distinct count is a scan of its own column, so no row is expanded for the two.
+    """
     bit_rate = F.coalesce(F.avg("bitRate"), F.lit(0.0))
     totals = tracks.agg(
         F.count(F.lit(1)).alias("totalTracks"),
-        F.count_distinct("artistSlug").alias("totalArtists"),
-        F.count_distinct("albumSlug").alias("totalAlbums"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("totalSizeBytes"),
         F.coalesce(F.sum("duration"), F.lit(0)).alias("totalDurationSeconds"),
         C.rounded(bit_rate, 1).alias("avgBitRate"),
@@ -107,8 +148,8 @@ def collection_stats(tracks: DataFrame) -> DataFrame:
     size, seconds = F.col("totalSizeBytes"), F.col("totalDurationSeconds")
     return totals.select(
         "totalTracks",
-        "totalArtists",
-        "totalAlbums",
+        _distinct(tracks, "artistSlug").scalar().alias("totalArtists"),
+        _distinct(tracks, "albumSlug").scalar().alias("totalAlbums"),
         "totalSizeBytes",
         C.gigabytes(size).alias("totalSizeGB"),
         "totalDurationSeconds",

@@ -499,6 +499,8 @@ ORACLES: dict[str, str] = {
     "s17_report_fields": f"WITH {parse()}, {REPORT_FIELDS} SELECT ordinal, field FROM unified",
     "s17_report_stats": f"""WITH {parse()}, {DEDUPED}, {REPORT_FIELDS}
         {RUN_STATS}, (SELECT count(*) FROM unified) AS unique_fields FROM deduped""",
+    "s18_lookup_clustered": f"""WITH {TRACKS} SELECT seq, name, "artistSlug", "albumSlug" FROM tracks
+        WHERE "artistSlug" = 'nation_3'""",
     "s18_read_chunks": f"WITH {CHUNKED} SELECT * EXCLUDE (seq) FROM chunked",
     "p1_track_table": f"WITH {NUMBERED} SELECT * FROM numbered",
     "p2_extract_tracks": EXTRACT_TRACKS,
@@ -549,6 +551,9 @@ ORACLES: dict[str, str] = {
     "a4_years": f"""WITH {TRACKS} SELECT "year", row_number() OVER (ORDER BY "year") AS position
         FROM (SELECT DISTINCT "year" FROM tracks WHERE "year" IS NOT NULL)""",
     "a5_collection_stats": f"WITH {TRACKS} {STATS}",
+    "a5d_distinct_sketches": f"""WITH {TRACKS} SELECT count(DISTINCT "artistSlug") AS "totalArtists",
+            count(DISTINCT "albumSlug") AS "totalAlbums", true AS "totalArtistsClose",
+            true AS "totalAlbumsClose" FROM tracks""",
     "a6_extract_artists": f"""WITH {extracted("artist", "album")}
         SELECT artist, album, position FROM extracted""",
     "a7_extract_albums": f"""WITH {extracted("album", "artist")}
@@ -586,6 +591,8 @@ ORACLES: dict[str, str] = {
         FROM documents WHERE NOT {blank("text")}""",
     "a14_dedup_first": """SELECT coalesce(text, '') AS text, min(doc_id) AS doc_id,
         count(*) AS copies FROM documents GROUP BY 1""",
+    "a14_dedup_in_runs": """SELECT coalesce(text, '') AS text, min(doc_id) AS doc_id,
+        count(*) AS copies FROM documents GROUP BY 1""",
     "a14_dedup_exports": f"WITH {parse()}, {DEDUPED} SELECT {_ROWS} FROM deduped WHERE copy = 1",
     "a15_duplicates": """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (
         PARTITION BY coalesce(text, '') ORDER BY doc_id) AS copy FROM documents) WHERE copy > 1""",

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogforge import functions as C
-from catalogforge.operators import browse, dedup, entities, inverted, parsing, report, search, tracks
+from catalogforge.operators import browse, dedup, entities, incremental, inverted, lookup, parsing, report, search, tracks
 from catalogforge.operators.ordering import global_positions
-from catalogforge.session import scratch_path
+from catalogforge.session import scratch_path, stage
 from catalogforge.sources import exports, tables
 from catalogforge.sources.schema import COLUMNS, CONTENT, EXTRA, LINEAGE
 from checks.source import MAX_YEAR, catalog_src, export_lines, table
@@ -445,6 +445,22 @@ def a5_collection_stats(spark, sf):
     return entities.collection_stats(cleaned(spark, sf))
 
 
+@query
+def a5d_distinct_sketches(spark, sf):
+    """The estimates of merged sketches, which stay within a few in a hundred of the exact numbers."""
+    tracks_ = cleaned(spark, sf)
+    parts = [tracks_.filter(F.col("rating") > 0), tracks_.filter(F.coalesce("rating", F.lit(0)) <= 0)]
+    exact = entities.distinct_slugs(tracks_)
+    near = entities.sketched_counts(entities.merged_sketches([entities.slug_sketches(p) for p in parts]))
+    near = stage(near, "sketched")
+
+    def close(name: str) -> Column:
+        guess = near.select(name).scalar()
+        return (F.abs(guess - F.col(name)) <= F.greatest(0.03 * F.col(name), F.lit(1))).alias(f"{name}Close")
+
+    return exact.select("totalArtists", "totalAlbums", close("totalArtists"), close("totalAlbums"))
+
+
 @query
 def a6_extract_artists(spark, sf):
     return entities.extract_artists(catalog_src(spark, sf))
@@ -509,6 +525,19 @@ def a14_dedup_first(spark, sf):
     return dedup.dedup_first(docs, ["text"], "doc_id")
 
 
+@query
+def a14_dedup_in_runs(spark, sf):
+    """Documents that come in three runs, one after the other, of a third each."""
+    docs = table(spark, sf, "documents")
+    runs = incremental.Runs(spark, scratch_path(spark, "runs"))
+    cuts = docs.agg(F.percentile("doc_id", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c")).first()["c"]
+    low, high = cuts or (0.0, 0.0)
+    between = (F.col("doc_id") >= low) & (F.col("doc_id") < high)
+    for part in (F.col("doc_id") < low, between, F.col("doc_id") >= high):
+        runs.add_run(docs.filter(part), ["text"], "doc_id")
+    return runs.compiled("doc_id").select("text", "doc_id", "copies")
+
+
 @query
 def a14_dedup_exports(spark, sf):
     run = parsed(spark, sf)
@@ -857,6 +886,14 @@ def t1_best_matches(spark, sf):
     return search.best_matches(search.keyword_search(postings, "doc_id", TERMS), "doc_id")
 
 
+@query
+def s18_lookup_clustered(spark, sf):
+    """The tracks of one artist out of a table laid out by slug."""
+    path = scratch_path(spark, "by-slug")
+    lookup.write_clustered(cleaned(spark, sf), path, "artistSlug", "seq")
+    return lookup.look_up(spark, path, "artistSlug", LOOKUP).select("seq", "name", "artistSlug", "albumSlug")
+
+
 def word_index(spark, sf):
     path = scratch_path(spark, "word-index")
     inverted.build_index(table(spark, sf, "documents"), "doc_id", "text", path)
