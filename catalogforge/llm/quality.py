@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogforge.llm.common import slices, texts
+from catalogforge.llm.common import short_batches, slices, texts
+from catalogforge.session import stage
 
 # Labelled documents learned from, at most about; lines of one that are used at a time.
 SAMPLE = 6000
+# Lines of the sample that the driver fits on; its documents are taken in the order of their draw.
+LINES = 400_000
 WINDOW = 64
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-4
 BINS = 8
@@ -335,8 +338,11 @@ def _expect(odds: np.ndarray, inside: np.ndarray, chain: np.ndarray) -> tuple[np
 # --- on Spark -------------------------------------------------------------------------
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on about ``sample`` labelled rows that are not held out, drawn by a hash of the id."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, budget: int = LINES) -> Model:
+    """Fits on about ``sample`` labelled rows that are not held out, drawn by a hash of the id.
+
+    Of those, only documents that fit into ``budget`` lines together reach the driver.
+    """
     known = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     ).filter(F.col("quality").isin(0, 1) & ~held_out())
@@ -344,7 +350,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     draw = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     # Bounded by ``sample``, so every task may hold it.
     drawn = known.filter(draw < min(1.0, sample / max(total, 1)))
-    rows = texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    rows = texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "quality", draw.alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -354,11 +360,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found.facts[a:b].astype(np.float32).tobytes()
                 for a, b in zip(found.first.tolist(), stops, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(facts, pa.binary()), batch.column(1)], ["facts", "quality"]
-            )
-
-    found = rows.mapInArrow(run, "facts binary, quality int").collect()
+            n = np.diff([*found.first.tolist(), len(found.facts)])
+            arrays = [pa.array(facts, pa.binary()), batch.column(1), batch.column(2), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["facts", "quality", "draw", "n"])
+
+    drawn_facts = stage(rows.mapInArrow(run, "facts binary, quality int, draw double, n long"), "quality-facts")
+    held = drawn_facts.groupBy("draw").agg(F.sum("n").alias("n")).orderBy("draw").collect()
+    taken, left = [], budget
+    for row in held:
+        if row["n"] <= left:
+            taken.append(row["draw"])
+            left -= row["n"]
+    if len(taken) < len(held):
+        chosen = docs.sparkSession.createDataFrame([(d,) for d in taken], "draw double")
+        drawn_facts = drawn_facts.join(F.broadcast(chosen), "draw", "left_semi")
+    found = drawn_facts.select("facts", "quality").collect()
     found.sort(key=lambda r: (bytes(r.facts), r.quality))
     parts = [np.frombuffer(r.facts, np.float32).reshape(-1, len(FACTS)) for r in found]
     facts = np.concatenate(parts).astype(float) if parts else np.zeros((0, len(FACTS)))
@@ -392,6 +408,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    short_batches(docs)
     model = learn(docs, labels, sample)
     at = docs.columns.index("text")
 
