@@ -196,8 +196,9 @@ def learn(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> tuple[lis
     )
     draw = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
     drawn = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
-    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[\s\p{Punct}]+")).alias("word"))
-    counted = words.filter(F.length("word").between(1, SHORT - 1)).groupBy("lang", "word")
+    # Longer runs, as of scripts without blanks, are learned from in parts of that length.
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(rf"[^\s\p{{Punct}}]{{1,{SHORT - 1}}}"), 0)
+    counted = drawn.select("lang", F.explode(parts).alias("word")).groupBy("lang", "word")
     counts = stage(counted.agg(F.count("*").alias("n")).repartition("word"), "langid-words")
     shipped = spark.sparkContext.broadcast(pieces)
     table = None

@@ -353,3 +353,28 @@ def test_languages_odd_rows(odd, empty):
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(empty).count() == 0
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_languages_are_learned_from_runs_without_blanks(make, spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(120):
+        lang = "ab"[i % 2]
+        letters = "kilometru" if lang == "a" else "wszystkoć"
+        rows.append((i, "".join(rnd.choice(letters) for _ in range(200)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_quality_sample_keeps_to_its_budget_of_lines(make, spark):
+    docs = make([(i, "good line\n" * (3 if i % 2 else 40)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda facts, first, marks: seen.append(len(facts)) or fit(facts, first, marks)
+    try:
+        quality.learn(docs, labels, budget=100)
+        quality.learn(docs, labels)
+    finally:
+        quality.fit = fit
+    assert 0 < seen[0] <= 100 < seen[1]
