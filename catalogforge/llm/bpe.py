@@ -38,6 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 # Words and pieces remembered by a worker, and bytes of text taken at a time.
 WORDS, PIECES = 450_000, 200_000
+LONGEST = 64
 SLICE = 4 << 20
 # More than the number of tokens.
 SPAN = 1 << 31
@@ -192,16 +193,21 @@ class Encoder:
 
 
 class Cache(dict):
-    """Remembers what ``make`` gave for at most ``limit`` keys, then starts afresh."""
+    """Remembers what ``make`` gave for at most ``limit`` keys, then starts afresh.
+
+    Keys of over ``LONGEST`` letters are not remembered, so it is bounded in bytes too.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
