@@ -15,8 +15,22 @@ from catalogforge.session import stage
 HOT_SHARE = 1000
 
 
+# Rows of an Arrow batch, where the session does not say otherwise than Spark's default.
+ROWS_KEY, ROWS_DEFAULT, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
+
+
+def short_batches(df: DataFrame) -> None:
+    """Lets the session send rows with texts to Python in batches of ``ROWS``.
+
+    A batch lies in memory three times, twice outside the heap, before it can be sliced.
+    """
+    if df.sparkSession.conf.get(ROWS_KEY) == ROWS_DEFAULT:
+        df.sparkSession.conf.set(ROWS_KEY, ROWS)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` (long) and ``text`` (null: empty), whatever else ``docs`` holds."""
+    short_batches(docs)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogforge.llm import simhash
-from catalogforge.llm.common import components, hot_join, slices
+from catalogforge.llm.common import components, hot_join, short_batches, slices
 from catalogforge.session import stage
 
 SHINGLE = 5
@@ -239,6 +239,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
 
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th`` of the documents that stay; ``th`` is the MD5 of the text."""
+    short_batches(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("th"), text.alias("text"))
     drawn = stage(sketches(rows), "neardup-sketches")
