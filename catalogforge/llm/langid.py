@@ -213,7 +213,7 @@ def _expected(words: DataFrame, langs: list[str], pieces, table, size: int) -> n
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(pieces.value)
         sums = np.zeros((size + 2, len(langs)))
-        for frame in frames:
+        for frame in _gathered(frames):
             for at, lang in enumerate(langs):
                 part = frame[frame["lang"] == lang]
                 weights = part["n"].to_numpy(float)
@@ -229,6 +229,18 @@ def _expected(words: DataFrame, langs: list[str], pieces, table, size: int) -> n
     return counts
 
 
+def _gathered(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The frames joined to ``rows`` or more, as each costs sums over all pieces."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
 def _collect(sums: np.ndarray, edges: np.ndarray, weights: np.ndarray, p: np.ndarray | None) -> None:
     count, n, width = edges.shape
     if p is None:
