@@ -10,8 +10,10 @@ names are found, and chance template matches are not. Near copies are found by w
 few words, around which the longest common subsequence of words is taken and held to
 ``COVERAGE``; placeholders in it must correspond as well.
 
-Everything is SQL functions. Windows of the benchmark are broadcast only while their
-count is below ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
+Everything is SQL functions. Each document is templated once, and all its windows of either
+sort meet the hashes of the benchmark's in one join. Only those hashes are broadcast, eight
+bytes each, while there are ``BROADCAST_WINDOWS`` of them at most; beyond that the same join
+shuffles. A text is held whole by the task that reads it, at some 100 bytes a word.
 
 Defined cases: null texts count as empty and leak nothing; an item of fewer words than a
 window is one window of its own length; matches of placeholders with fewer than
@@ -43,8 +45,9 @@ UNITS = (
     " usd eur dollar dollars cent cents euro euros percent degrees mph kmh"
 ).split()
 
-_TRAILING = ".,;:!?\"')]}|*#%$&"
 _WORDS = r"[\p{L}\p{N}]\S*+"
+# The same words, of which the first group leaves trailing punctuation out.
+_CORES = r"([\p{L}\p{N}](?:\S*[^\s.,;:!?\"')\]}|*#%$&])?)\S*+"
 NUM, NAME, UNIT, NUM_UNIT = "<num>", "<name>", "<unit>", "<num><unit>"
 
 # Word sequences compared for near copies, and the placeholders that each keeps.
@@ -56,59 +59,81 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
 
 
-def _core(word: Column) -> Column:
-    return F.rtrim(word, F.lit(_TRAILING))
-
-
-def template(every: Column) -> Column:
-    """The words of an array, lower-cased or replaced by typed placeholders.
+def templated(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``low`` and ``canon`` in place of ``text``: its words without trailing
+    punctuation, lower-cased, and the same with typed placeholders.
 
     A capitalised word is a name unless it opens the text or a sentence.
     """
+    unit = "|".join(UNITS)
 
-    def canonical(around: Column, word: Column, i: Column) -> Column:
-        core = _core(word)
-        before = F.when(i > 0, F.get(around, i - 1))
-        digit = (core >= "0") & (core < ":")
-        unit = "|".join(UNITS)
+    def canonical(split: Column, low: Column, core: Column, i: Column) -> Column:
+        lower = F.get(low, i)
+        before = F.get(split["word"], i - 1)
         number = (
             F.when(core.rlike(r"^[0-9][0-9.,:/-]*+$"), NUM)
-            .when(F.lower(core).rlike(rf"^[0-9][0-9.,]*+(?:{unit})$"), NUM_UNIT)
-            .otherwise(F.lower(core))
+            .when(lower.rlike(rf"^[0-9][0-9.,]*+(?:{unit})$"), NUM_UNIT)
+            .otherwise(lower)
         )
-        after_number = (before >= "0") & (before < ":")
-        capital = (core >= "A") & (core < "[")
-        inside = ~F.right(before, F.lit(1)).isin(".", "!", "?")
+        after_number = F.coalesce((before >= "0") & (before < ":"), F.lit(False))
+        inside = F.coalesce(~F.right(before, F.lit(1)).isin(".", "!", "?"), F.lit(False))
         return (
-            F.when(digit, number)
-            .when(after_number & F.lower(core).isin(UNITS), UNIT)
-            .when(capital & F.coalesce(inside, F.lit(False)), NAME)
-            .otherwise(F.lower(core))
+            F.when((core >= "0") & (core < ":"), number)
+            .when(lower.isin(UNITS) & after_number, UNIT)
+            .when((core >= "A") & (core < "[") & inside, NAME)
+            .otherwise(lower)
         )
 
-    # Bound as a variable, so that looking at a neighbour does not split the text again.
+    def shaped(split: Column, low: Column) -> Column:
+        canon = F.transform(split["core"], lambda core, i: canonical(split, low, core, i))
+        return F.struct(low.alias("low"), canon.alias("canon"))
+
+    # Bound as variables, so that looking at a neighbour does not split the text again.
+    split = F.struct(
+        words("text").alias("word"),
+        F.regexp_extract_all("text", F.lit(_CORES), F.lit(1)).alias("core"),
+    )
     bound = F.transform(
-        F.array(every), lambda around: F.transform(around, lambda w, i: canonical(around, w, i))
+        F.array(split),
+        lambda s: F.get(F.transform(F.array(F.transform(s["core"], F.lower)), lambda low: shaped(s, low)), F.lit(0)),
     )
-    return F.get(bound, F.lit(0))
-
-
-def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """A row for each window: ``pos``, ``len`` and the hash ``h``, beside what ``rows`` has
-    but its words, which would be copied into every row."""
-    out = None
-    for length in lengths:
-        last = F.size("canon") - length
-        # Outer, as Spark would work the words out once more to filter rows before a plain one.
-        places = F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last)))
-        inside = [F.get("canon", F.col("pos") + i) for i in range(length)]
-        kept = [c for c in rows.columns if c not in ("words", "canon")]
-        part = rows.withColumn("pos", places).select(
-            *kept, "pos", F.lit(length).alias("len"), F.xxhash64(F.lit(length), *inside).alias("h")
-        )
-        part = part.filter(F.col("pos").isNotNull())
-        out = part if out is None else out.unionByName(part)
-    return out
+    kept = [c for c in rows.columns if c != "text"]
+    return rows.select(*kept, F.get(bound, F.lit(0)).alias("both")).select(*kept, "both.low", "both.canon")
+
+
+def _hash(mark: int, of: Column, start: Column) -> Column:
+    """A hash of ``abs(mark)`` words of an array; the sign tells template windows (+) from seeds (-)."""
+    return F.xxhash64(F.lit(mark), *[F.get(of, start + i) for i in range(abs(mark))])
+
+
+def _hash_all(sign: int, of: Column) -> Column:
+    """``_hash`` of a whole array of one to ``WINDOW`` words."""
+    size, chosen = F.size(of), F
+    for n in range(1, WINDOW + 1):
+        chosen = chosen.when(size == n, _hash(sign * n, of, F.lit(0)))
+    return chosen
+
+
+def _probes(rows: DataFrame, windows: list[int], seeds: list[int]) -> DataFrame:
+    """``templated`` rows to ``key, pos, h``: a row for each window of the lengths given.
+
+    Seeds are taken from the templates and with names left as words. As plain words they can
+    differ from the latter only in a first word that is a unit.
+    """
+    plain = F.transform("canon", lambda c, i: F.when(c == NAME, F.get("low", i)).otherwise(c))
+    # Outer, as Spark would work the words out once more to filter rows before a plain one.
+    places = F.explode_outer(F.when(F.size("canon") > 0, F.sequence(F.lit(0), F.size("canon") - 1)))
+    spread = rows.withColumn("plain", plain).withColumn("pos", places)
+    pos, left = F.col("pos"), F.size("canon") - F.col("pos")
+    hashes = [F.when(left >= n, _hash(n, F.col("canon"), pos)) for n in windows]
+    for n in seeds:
+        hashes.append(F.when(left >= n, _hash(-n, F.col("canon"), pos)))
+        hashes.append(F.when(left >= n, _hash(-n, F.col("plain"), pos)))
+        opens = (left >= n) & F.get("low", pos).isin(UNITS)
+        hashes.append(F.when(opens, _hash(-n, F.col("low"), pos)))
+    none = F.array().cast("array<bigint>")
+    every = spread.select("key", "pos", F.explode_outer(F.array(*hashes) if hashes else none).alias("h"))
+    return every.filter(F.col("h").isNotNull())
 
 
 def _filled(rows: DataFrame) -> DataFrame:
@@ -118,7 +143,7 @@ def _filled(rows: DataFrame) -> DataFrame:
     def of(both: Column, spot: Column) -> Column:
         c = F.slice(both["c"], spot["pos"] + 1, spot["len"])
         w = F.slice(both["w"], spot["pos"] + 1, spot["len"])
-        filler = F.zip_with(c, w, lambda k, x: F.when(k.startswith("<"), F.concat(k, F.lit("="), F.lower(_core(x)))))
+        filler = F.zip_with(c, w, lambda k, x: F.when(k.startswith("<"), F.concat(k, F.lit("="), x)))
         return F.struct(
             spot["pos"].alias("pos"),
             spot["len"].alias("len"),
@@ -127,19 +152,13 @@ def _filled(rows: DataFrame) -> DataFrame:
             F.size(F.filter(c, lambda x: ~x.startswith("<"))).alias("w_plain"),
         )
 
-    both = F.array(F.struct(F.col("canon").alias("c"), F.col("words").alias("w")))
+    both = F.array(F.struct(F.col("canon").alias("c"), F.col("low").alias("w")))
     bound = F.transform(both, lambda b: F.transform("spots", lambda s: of(b, s)))
-    kept = [c for c in rows.columns if c not in ("words", "canon", "spots")]
+    kept = [c for c in rows.columns if c not in ("low", "canon", "spots")]
     narrow = rows.select(*kept, F.get(bound, F.lit(0)).alias("found"))
     return narrow.select(*kept, F.explode_outer("found").alias("f")).select(*kept, "f.*")
 
 
-def templated(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``words`` and ``canon`` in place of ``text``."""
-    split = rows.withColumn("words", words("text")).drop("text")
-    return split.withColumn("canon", template(F.col("words")))
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """The windows of the items: ``h, item_id, item, n, i_pos, len, i_text, i_slots``."""
     items = benchmark.select(
@@ -155,12 +174,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     canon = templated(items).withColumn("n", F.size("canon")).filter("n > 0")
     every = _filled(canon.withColumn("spots", spots))
     kept = every.filter(F.col("w_plain") >= F.least(F.lit(LITERALS), F.col("len")))
-    # As ``_windows`` hashes the words of a window, one by one after their number.
-    hashed = None
-    for n in range(1, WINDOW + 1):
-        word = F.split("w_text", " ")
-        h = F.xxhash64(F.lit(n), *[F.get(word, F.lit(i)) for i in range(n)])
-        hashed = F.when(F.col("len") == n, h) if hashed is None else hashed.when(F.col("len") == n, h)
+    hashed = _hash_all(1, F.split("w_text", " "))
     return kept.select(
         hashed.alias("h"), "item_id", "item", "n", F.col("pos").alias("i_pos"), "len",
         F.col("w_text").alias("i_text"), F.col("w_slots").alias("i_slots"),
@@ -168,31 +182,22 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """``templated`` rows with ``low`` (lower-cased words) and ``forms``, the word sequences
-    in which copies may agree, in place of ``words`` and ``canon``."""
-    low = F.transform("words", lambda w: F.lower(_core(w)))
-    lowered = rows.withColumn("low", low)
-    forms = F.array(*[F.col(name) for name in FORMS])
+    """``templated`` rows with ``forms``, the word sequences in which copies may agree, in
+    place of ``canon``."""
+    made = []
     for name, kept in FORMS.items():
-        if name != "canon":
-            same = F.zip_with("canon", "low", lambda c, w: F.when(c.isin(*kept), c).otherwise(w) if kept else w)  # noqa: B023
-            lowered = lowered.withColumn(name, same)
-    return lowered.withColumn("forms", forms).drop("words", "canon", *FORMS)
-
-
-def _seeds(rows: DataFrame, spot: Column, lengths: Column) -> DataFrame:
-    """A row for each window of each of ``lengths`` and form: ``pos``, ``len`` and ``h``."""
-    kept = [c for c in rows.columns if c not in ("low", "forms")]
-    placed = rows.withColumn("len", F.explode_outer(lengths)).withColumn("pos", F.explode_outer(spot))
-    cut = [F.slice(F.get("forms", F.lit(k)), F.col("pos") + 1, F.col("len")) for k in range(len(FORMS))]
-    return placed.select(
-        *kept, "pos", "len", F.explode_outer(F.array_distinct(F.array(*[F.xxhash64(c) for c in cut]))).alias("h")
-    ).filter(F.col("pos").isNotNull())
+        same = F.zip_with("canon", "low", lambda c, w: F.when(c.isin(*kept), c).otherwise(w) if kept else w)  # noqa: B023
+        made.append(F.col("canon") if name == "canon" else same)
+    return rows.withColumn("forms", F.array(*made)).drop("canon")
 
 
-def _spots() -> Column:
+def _seeds(items: DataFrame) -> DataFrame:
+    """``item, n, i_pos, len, h``: each window of ``len`` words of each form."""
     last = F.size("low") - F.col("len")
-    return F.when(last >= 0, F.sequence(F.lit(0), last))
+    spread = items.withColumn("i_pos", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    cut = [F.slice(F.get("forms", F.lit(k)), F.col("i_pos") + 1, F.col("len")) for k in range(len(FORMS))]
+    hashed = F.array_distinct(F.array(*[_hash_all(-1, c) for c in cut]))
+    return spread.select("item", "n", "i_pos", "len", F.explode_outer(hashed).alias("h")).distinct()
 
 
 def _aligned(a: Column, b: Column, fill_a: Column, fill_b: Column) -> Column:
@@ -203,10 +208,8 @@ def _aligned(a: Column, b: Column, fill_a: Column, fill_b: Column) -> Column:
     """
     none = F.lit(2**31 - 1)
     pairs = F.array().cast("array<struct<a:string,b:string>>")
-    start = F.transform(
-        F.sequence(F.lit(0), F.size(a)),
-        lambda k: F.struct(F.when(k == 0, -1).otherwise(none).alias("end"), pairs.alias("pairs")),
-    )
+    first = F.struct(F.lit(-1).alias("end"), pairs.alias("pairs"))
+    further = F.struct(none.alias("end"), pairs.alias("pairs"))
     places = F.transform(b, lambda w, at: F.struct(w.alias("w"), at.cast("int").alias("at")))
 
     def step(ends: Column, x: Column) -> Column:
@@ -224,39 +227,39 @@ def _aligned(a: Column, b: Column, fill_a: Column, fill_b: Column) -> Column:
             return F.get(F.transform(F.array(at), to), F.lit(0))
 
         # Bound as variables, so that they are worked out once a step and element.
-        every = F.transform(F.array(met), lambda m: F.transform(ends, lambda now, k: longer(now, k, m)))
-        return F.when(F.array_contains(b, x["w"]), F.get(every, F.lit(0))).otherwise(ends)
+        more = F.concat(ends, F.array(further))
+        every = F.transform(F.array(met), lambda m: F.transform(more, lambda now, k: longer(now, k, m)))
+        reached = F.filter(F.get(every, F.lit(0)), lambda e: e["end"] < none)
+        return F.when(F.array_contains(b, x["w"]), reached).otherwise(ends)
 
     steps = F.zip_with(a, fill_a, lambda w, f: F.struct(w.alias("w"), f.alias("fill")))
-    reached = F.aggregate(steps, start, step, lambda ends: F.filter(ends, lambda e: e["end"] < none))
+    reached = F.aggregate(steps, F.array(first), step)
     return F.transform(
         F.array(reached), lambda r: F.struct((F.size(r) - 1).alias("same"), F.get(r, F.size(r) - 1)["pairs"].alias("pairs"))
     )[0]
 
 
-def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``key, item_id, coverage``: items of which ``coverage`` of the words stand in a document
-    in their order, within a quarter of the item's length around a shared short window.
-
-    Windows are so short that an item with as many words replaced or left out as
-    ``coverage`` allows has one intact.
-    """
+def _benchmark_words(benchmark: DataFrame) -> DataFrame:
+    """``item_id, low, forms, n, item`` of the items that have words."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     ).distinct()
-    n = F.size("low")
-    item_words = _forms(templated(items)).withColumn("n", n).filter("n > 0")
-    item_words = stage(item_words.withColumn("item", F.xxhash64("item_id", "low")), "benchmark-words")
+    item_words = _forms(templated(items)).withColumn("n", F.size("low")).filter("n > 0")
+    return item_words.withColumn("item", F.xxhash64("item_id", "low"))
+
+
+def benchmark_seeds(item_words: DataFrame, coverage: float) -> DataFrame:
+    """``_seeds`` so short that an item with as many words replaced or left out as
+    ``coverage`` allows has one intact."""
     changed = F.floor(F.col("n") * F.lit(1 - coverage) + F.lit(1e-9))
     length = F.least(F.ceil((F.col("n") - changed) / (changed + 1)), F.lit(WINDOW)).cast("int")
-    seeds = _seeds(item_words.select("item", "n", "low", "forms"), _spots(), F.array(length))
-    seeds = stage(seeds.distinct(), "benchmark-seeds")
-    size, lengths = seeds.agg(F.count("*"), F.collect_set("len")).first()
-    rows = texts(docs).select(document_key().alias("key"), "text")
-    wanted = F.array(*[F.lit(k) for k in sorted(lengths)]) if lengths else F.array().cast("array<int>")
-    spread = _seeds(_forms(templated(rows)), _spots(), wanted).drop("text")
-    known = seeds.select("h", F.col("len").alias("i_len"), "item", "n", F.col("pos").alias("i_pos"))
-    met = spread.join(F.broadcast(known) if size <= BROADCAST_WINDOWS else known, "h").filter("len = i_len")
+    return _seeds(item_words.withColumn("len", length))
+
+
+def _near_copies(rows: DataFrame, hits: DataFrame, item_words: DataFrame, seeds: DataFrame, coverage: float) -> DataFrame:
+    """``key, item_id, coverage``: items of which ``coverage`` of the words stand in a document
+    in their order, within a quarter of the item's length around a shared seed."""
+    met = hits.join(seeds, "h")
     lines = met.select("key", "item", "n", (F.col("pos") - F.col("i_pos")).alias("line")).distinct()
     spots = lines.groupBy("key").agg(F.collect_list(F.struct("item", "n", "line")).alias("spots"))
     # The words around a line: the item's length, and a quarter of it on either side.
@@ -278,7 +281,7 @@ def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
     )
     around = found.select("key", F.get(around, F.lit(0)).alias("around"))
     around = stage(around.select("key", F.explode_outer("around").alias("r")).select("key", "r.*"), "near-around")
-    both = around.distinct().join(F.broadcast(item_words) if size <= BROADCAST_WINDOWS else item_words, "item")
+    both = around.distinct().join(item_words, "item")
     each = both.select(
         "key", "item_id", "n", "low", "d_low",
         F.explode_outer(F.array_distinct(F.arrays_zip(F.col("forms").alias("i"), F.col("d_forms").alias("d")))).alias("f"),
@@ -299,18 +302,22 @@ def near_copies(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``key, item_id, coverage``: items leaked into documents; ``key`` as ``document_key``."""
-    every = template_leaks(docs, benchmark, coverage).unionByName(near_copies(docs, benchmark, coverage))
+    windows = stage(benchmark_windows(benchmark), "benchmark-windows")
+    item_words = stage(_benchmark_words(benchmark), "benchmark-words")
+    seeds = stage(benchmark_seeds(item_words, coverage), "benchmark-seeds")
+    lengths = [sorted(x.agg(F.collect_set("len")).first()[0]) for x in (windows, seeds)]
+    known = stage(windows.select("h").union(seeds.select("h")).distinct(), "benchmark-hashes")
+    small = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    rows = texts(docs).select(document_key().alias("key"), "text")
+    hits = stage(_probes(templated(rows), *lengths).join(small, "h"), "leak-hits")
+    whole = _template_leaks(rows, hits, windows, coverage)
+    every = whole.unionByName(_near_copies(rows, hits, item_words, seeds, coverage))
     return every.groupBy("key", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
-def template_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def _template_leaks(rows: DataFrame, hits: DataFrame, windows: DataFrame, coverage: float) -> DataFrame:
     """``key, item_id, coverage``: items whose intact template windows cover ``coverage``."""
-    bench = stage(benchmark_windows(benchmark), "benchmark-windows")
-    size, lengths = bench.agg(F.count("*"), F.collect_set("len")).first()
-    rows = texts(docs).select(document_key().alias("key"), "text")
-    spread = _windows(templated(rows), sorted(lengths) or [WINDOW])
-    small = F.broadcast(bench) if size <= BROADCAST_WINDOWS else bench
-    met = stage(spread.join(small.withColumnRenamed("len", "i_len"), "h").filter("len = i_len"), "leak-windows")
+    met = stage(hits.join(windows, "h"), "leak-windows")
     # The words of a document are worked out again where it has matches, once for all of them.
     spots = met.groupBy("key").agg(F.collect_set(F.struct("pos", "len")).alias("spots"))
     filled = _filled(templated(rows.join(spots, "key"))).distinct()
