@@ -45,18 +45,28 @@ UNITS = (
     " usd eur dollar dollars cent cents euro euros percent degrees mph kmh"
 ).split()
 
-_WORDS = r"[\p{L}\p{N}]\S*+"
-# The same words, of which the first group leaves trailing punctuation out.
-_CORES = r"([\p{L}\p{N}](?:\S*[^\s.,;:!?\"')\]}|*#%$&])?)\S*+"
+_WORD = r"[\p{L}\p{N}].*+"
+_TRAILING = ".,;:!?\"')]}|*#%$&"
 NUM, NAME, UNIT, NUM_UNIT = "<num>", "<name>", "<unit>", "<num><unit>"
 
 # Word sequences compared for near copies, and the placeholders that each keeps.
 FORMS = {"canon": (NUM, NUM_UNIT, UNIT, NAME), "caseless": (NUM, NUM_UNIT, UNIT), "literal": ()}
 
 
-def words(text: Column | str) -> Column:
-    """Runs of non-blanks from their first letter or digit on."""
-    return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
+def words(text: Column) -> Column:
+    """Runs of non-blanks from their first letter or digit on; blanks are single spaces."""
+    ascii_start = lambda t: ((t >= "a") & (t < "{")) | ((t >= "0") & (t < ":")) | ((t >= "A") & (t < "["))
+    cut = F.transform(
+        F.split(text, " "), lambda t: F.when(ascii_start(t), t).otherwise(F.regexp_extract(t, f"(?s){_WORD}", 0))
+    )
+    return F.filter(cut, lambda t: t != "")
+
+
+def _spaced(text: Column) -> Column:
+    """The text with every blank as a space."""
+    for blank in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
 
 def templated(rows: DataFrame) -> DataFrame:
@@ -89,28 +99,35 @@ def templated(rows: DataFrame) -> DataFrame:
         return F.struct(low.alias("low"), canon.alias("canon"))
 
     # Bound as variables, so that looking at a neighbour does not split the text again.
-    split = F.struct(
-        words("text").alias("word"),
-        F.regexp_extract_all("text", F.lit(_CORES), F.lit(1)).alias("core"),
-    )
+    cores = lambda w: F.transform(w, lambda x: F.rtrim(x, F.lit(_TRAILING)))
+    one = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    lowered = lambda s: one(F.transform(s["core"], F.lower), lambda low: shaped(s, low))
     bound = F.transform(
-        F.array(split),
-        lambda s: F.get(F.transform(F.array(F.transform(s["core"], F.lower)), lambda low: shaped(s, low)), F.lit(0)),
+        F.array(words(F.col("text"))),
+        lambda w: one(F.struct(w.alias("word"), cores(w).alias("core")), lowered),
     )
     kept = [c for c in rows.columns if c != "text"]
-    return rows.select(*kept, F.get(bound, F.lit(0)).alias("both")).select(*kept, "both.low", "both.canon")
+    spaced = rows.select(*kept, _spaced(F.col("text")).alias("text"))
+    return spaced.select(*kept, F.get(bound, F.lit(0)).alias("both")).select(*kept, "both.low", "both.canon")
+
+
+def _hash(sign: int, of: Column, start: Column, n: int) -> Column:
+    """A hash of ``n`` words of an array; the sign tells template windows (+) from seeds (-)."""
+    return F.xxhash64(F.lit(sign * n), _chain([F.get(of, start + i) for i in range(n)]))
 
 
-def _hash(mark: int, of: Column, start: Column) -> Column:
-    """A hash of ``abs(mark)`` words of an array; the sign tells template windows (+) from seeds (-)."""
-    return F.xxhash64(F.lit(mark), *[F.get(of, start + i) for i in range(abs(mark))])
+def _chain(words: list[Column], head: Column | None = None) -> Column:
+    """A hash of words that goes on from the hash of those before them."""
+    for word in words:
+        head = F.xxhash64(word) if head is None else F.xxhash64(head, word)
+    return head
 
 
 def _hash_all(sign: int, of: Column) -> Column:
     """``_hash`` of a whole array of one to ``WINDOW`` words."""
     size, chosen = F.size(of), F
     for n in range(1, WINDOW + 1):
-        chosen = chosen.when(size == n, _hash(sign * n, of, F.lit(0)))
+        chosen = chosen.when(size == n, _hash(sign, of, F.lit(0), n))
     return chosen
 
 
@@ -125,12 +142,20 @@ def _probes(rows: DataFrame, windows: list[int], seeds: list[int]) -> DataFrame:
     places = F.explode_outer(F.when(F.size("canon") > 0, F.sequence(F.lit(0), F.size("canon") - 1)))
     spread = rows.withColumn("plain", plain).withColumn("pos", places)
     pos, left = F.col("pos"), F.size("canon") - F.col("pos")
-    hashes = [F.when(left >= n, _hash(n, F.col("canon"), pos)) for n in windows]
-    for n in seeds:
-        hashes.append(F.when(left >= n, _hash(-n, F.col("canon"), pos)))
-        hashes.append(F.when(left >= n, _hash(-n, F.col("plain"), pos)))
-        opens = (left >= n) & F.get("low", pos).isin(UNITS)
-        hashes.append(F.when(opens, _hash(-n, F.col("low"), pos)))
+    hashes, held = [], {"canon": 0, "plain": 0}
+    lengths = {"canon": sorted({*windows, *seeds}), "plain": sorted(seeds)}
+    for form, sizes in lengths.items():
+        for n in sizes:
+            # The hash of the shorter window goes on to the longer one.
+            inside = [F.get(form, pos + i) for i in range(held[form], n)]
+            before = F.col(f"{form}{held[form]}") if held[form] else None
+            spread = spread.withColumn(f"{form}{n}", _chain(inside, before))
+            held[form] = n
+            for sign, wanted in ((1, windows if form == "canon" else []), (-1, seeds)):
+                if n in wanted:
+                    hashes.append(F.when(left >= n, F.xxhash64(F.lit(sign * n), F.col(f"{form}{n}"))))
+    opens = F.get("low", pos).isin(UNITS)
+    hashes += [F.when((left >= n) & opens, _hash(-1, F.col("low"), pos, n)) for n in seeds]
     none = F.array().cast("array<bigint>")
     every = spread.select("key", "pos", F.explode_outer(F.array(*hashes) if hashes else none).alias("h"))
     return every.filter(F.col("h").isNotNull())
