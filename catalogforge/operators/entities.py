@@ -26,6 +26,20 @@ SAMPLE_MEMBERS = 3
 SKETCH_BITS = 14
 
 
+def entity_state(tracks: DataFrame, slug: str, name: str, member: str, order: str = "seq") -> DataFrame:
+    """``slug, name, member, n, first, last``: what later rows can be added to."""
+    return tracks.groupBy(slug, name, member).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last")
+    )
+
+
+def merged_states(states: DataFrame, slug: str, name: str, member: str) -> DataFrame:
+    """States of several sets of rows as one state of all of them."""
+    return states.groupBy(slug, name, member).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
 def entity_summary(
     tracks: DataFrame, slug: str, name: str, member: str, member_count: str, order: str = "seq"
 ) -> DataFrame:
@@ -35,10 +49,12 @@ def entity_summary(
     (slug, name, member) with fixed-width aggregates, then to one per member, then
     to one per slug; every step combines inside tasks before it shuffles.
     """
-    seen = tracks.groupBy(slug, name, member).agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last")
-    )
-    per_member = seen.groupBy(slug, member).agg(
+    return summary_of_states(entity_state(tracks, slug, name, member, order), slug, name, member, member_count)
+
+
+def summary_of_states(states: DataFrame, slug: str, name: str, member: str, member_count: str) -> DataFrame:
+    """``entity_summary`` from states, merged or not."""
+    per_member = states.groupBy(slug, member).agg(
         F.sum("n").alias("n"),
         F.min("first").alias("first"),
         F.max_by(F.struct("last", name), "last").alias("named"),
@@ -55,7 +71,10 @@ def entity_index(
     tracks: DataFrame, slug: str, name: str, member: str, member_count: str, order: str = "seq"
 ) -> DataFrame:
     """``entity_summary`` with each row's place by lower-cased name."""
-    summary = entity_summary(tracks, slug, name, member, member_count, order)
+    return numbered_summary(entity_summary(tracks, slug, name, member, member_count, order))
+
+
+def numbered_summary(summary: DataFrame) -> DataFrame:
     return global_positions(summary, [F.lower("name"), "first_seq"]).drop("first_seq")
 
 
@@ -137,19 +156,36 @@ def collection_stats(tracks: DataFrame) -> DataFrame:
 
     Each distinct count is a scan of its own column, so no row is expanded for the two.
     """
-    bit_rate = F.coalesce(F.avg("bitRate"), F.lit(0.0))
-    totals = tracks.agg(
-        F.count(F.lit(1)).alias("totalTracks"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("totalSizeBytes"),
-        F.coalesce(F.sum("duration"), F.lit(0)).alias("totalDurationSeconds"),
+    return stats_of_states(totals_state(tracks), tracks, tracks)
+
+
+def totals_state(tracks: DataFrame) -> DataFrame:
+    """``n, sizes, durations, bitRates, bitRated, rated``: one row that others can be added to."""
+    return tracks.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("sizes"),
+        F.sum("duration").alias("durations"),
+        F.sum(F.col("bitRate").cast("double")).alias("bitRates"),
+        F.count("bitRate").alias("bitRated"),
+        F.count_if(F.col("rating") > 0).alias("rated"),
+    )
+
+
+def stats_of_states(totals: DataFrame, artists: DataFrame, albums: DataFrame) -> DataFrame:
+    """``collection_stats`` from rows of ``totals_state`` and tables that hold every slug."""
+    bit_rate = F.when(F.sum("bitRated") > 0, F.sum("bitRates") / F.sum("bitRated")).otherwise(0.0)
+    totals = totals.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("totalTracks"),
+        F.coalesce(F.sum("sizes"), F.lit(0)).alias("totalSizeBytes"),
+        F.coalesce(F.sum("durations"), F.lit(0)).alias("totalDurationSeconds"),
         C.rounded(bit_rate, 1).alias("avgBitRate"),
-        F.count_if(F.col("rating") > 0).alias("tracksWithRating"),
+        F.coalesce(F.sum("rated"), F.lit(0)).alias("tracksWithRating"),
     )
     size, seconds = F.col("totalSizeBytes"), F.col("totalDurationSeconds")
     return totals.select(
         "totalTracks",
-        _distinct(tracks, "artistSlug").scalar().alias("totalArtists"),
-        _distinct(tracks, "albumSlug").scalar().alias("totalAlbums"),
+        _distinct(artists, "artistSlug").scalar().alias("totalArtists"),
+        _distinct(albums, "albumSlug").scalar().alias("totalAlbums"),
         "totalSizeBytes",
         C.gigabytes(size).alias("totalSizeGB"),
         "totalDurationSeconds",

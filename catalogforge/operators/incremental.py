@@ -125,8 +125,8 @@ def may_hold(rows: DataFrame, known: DataFrame) -> DataFrame:
 # --- runs -----------------------------------------------------------------------------
 
 
-class Runs:
-    """The runs below a folder: rows kept, copies found later, digests, filters, manifests."""
+class Commits:
+    """Numbered runs below a folder, each a set of tables that counts from its commit on."""
 
     def __init__(self, spark: SparkSession, out: str):
         self.spark, self.out = spark, out.rstrip("/")
@@ -149,13 +149,20 @@ class Runs:
         paths = [f"{self.out}/run={run}/{name}" for run in self.committed()]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def next_run(self) -> int:
+        done = self.committed()
+        return done[-1] + 1 if done else 0
+
+
+class Runs(Commits):
+    """The runs below a folder: rows kept, copies found later, digests, filters, manifests."""
+
     def add_run(self, rows: DataFrame, content: Sequence[str], order: str, seen: DataFrame | None = None) -> int:
         """Dedups ``rows`` among themselves and against all runs, and commits what is new.
 
         Returns the number of the run. ``seen`` is the manifest to keep with it.
         """
-        done = self.committed()
-        run = done[-1] + 1 if done else 0
+        run = self.next_run()
         own = dedup_first(rows, content, order)
         own = stage(own.withColumn("digest", content_digest(own, content)), "incremental-own")
         known, bloom = self.table("digests"), self.table("filters")

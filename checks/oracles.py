@@ -748,3 +748,10 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (copy > 1) AS duplicates_removed, true AS balanced
         FROM deduped""",
 }
+
+# What runs in parts give equals what one run over all gives.
+ORACLES |= {
+    "a1_index_of_runs": ORACLES["a1_artist_index"],
+    "a2_index_of_runs": ORACLES["a2_album_index"],
+    "a5_stats_of_runs": ORACLES["a5_collection_stats"],
+}

@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogforge import functions as C
-from catalogforge.operators import browse, dedup, entities, incremental, inverted, lookup, parsing, report, search, tracks
+from catalogforge.operators import (
+    browse,
+    dedup,
+    entities,
+    incremental,
+    inverted,
+    lookup,
+    maintained,
+    parsing,
+    report,
+    search,
+    tracks,
+)
 from catalogforge.operators.ordering import global_positions
 from catalogforge.session import scratch_path, stage
 from catalogforge.sources import exports, tables
@@ -445,6 +457,31 @@ def a5_collection_stats(spark, sf):
     return entities.collection_stats(cleaned(spark, sf))
 
 
+def _maintained(spark, sf):
+    """States of all tracks, which come in two runs: the rated ones last."""
+    tracks_ = cleaned(spark, sf)
+    states = maintained.Maintained(spark, scratch_path(spark, "states"))
+    rated = F.coalesce(F.col("rating"), F.lit(0)) > 0
+    states.add(tracks_.filter(~rated))
+    states.add(tracks_.filter(rated))
+    return states
+
+
+@query
+def a1_index_of_runs(spark, sf):
+    return _maintained(spark, sf).index("artists")
+
+
+@query
+def a2_index_of_runs(spark, sf):
+    return _maintained(spark, sf).index("albums")
+
+
+@query
+def a5_stats_of_runs(spark, sf):
+    return _maintained(spark, sf).stats()
+
+
 @query
 def a5d_distinct_sketches(spark, sf):
     """The estimates of merged sketches, which stay within a few in a hundred of the exact numbers."""
