@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from catalogforge.sources.schema import INLINE_HEADER, NO_HEADER, SEPARATE_HEADER
@@ -60,6 +60,36 @@ def run_statistics(files: DataFrame, deduped: DataFrame) -> DataFrame:
     )
 
 
+def counted(deduped: DataFrame) -> tuple[DataFrame, Observation]:
+    """``deduped`` with counts that the job which writes it takes along.
+
+    Write the frame as it is: an action that reads a part counts that part, and a stage before
+    one more shuffle counts again if it runs again. Counts wait for the write, and ``reconcile``
+    holds them to the files.
+    """
+    counts = Observation()
+    total = F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows")
+    return deduped.observe(counts, total, F.count(F.lit(1)).alias("unique_rows")), counts
+
+
+def counted_statistics(files: DataFrame, counts: Observation) -> DataFrame:
+    """``run_statistics`` of rows that were ``counted`` and written; these are not read again."""
+    total, unique = (F.lit(counts.get[name]).cast("bigint") for name in ("total_rows", "unique_rows"))
+    return files.agg(
+        F.count(F.lit(1)).alias("files_processed"),
+        F.count_if(F.col("n_rows") == 0).alias("empty_files"),
+        total.alias("total_rows"),
+        (total - unique).alias("duplicates_removed"),
+        unique.alias("unique_rows"),
+    )
+
+
+def require_counted(counts: Observation) -> None:
+    """``require_rows`` of rows that were ``counted`` and written."""
+    if not counts.get["unique_rows"]:
+        raise ValueError("no rows were compiled; see the report of files")
+
+
 def unreadable_files(files: DataFrame, discovered_sizes: DataFrame) -> DataFrame:
     """Files that hold bytes but gave no line; only possible when errors are skipped."""
     return discovered_sizes.filter(F.col("length") > 0).join(files, "source_path", "left_anti")

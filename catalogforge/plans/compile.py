@@ -38,9 +38,10 @@ def compile_exports(
     fields = parsing.unified_header(run.sources)
     fields.write.parquet(f"{out}/report_fields")
 
-    kept = run.lineage_of(dedup.dedup_first(run.rows, CONTENT, "seq"))
+    kept, counts = report.counted(run.lineage_of(dedup.dedup_first(run.rows, CONTENT, "seq")))
     kept.write.parquet(f"{out}/compiled")
-    compiled = report.require_rows(spark.read.parquet(f"{out}/compiled"))
+    report.require_counted(counts)
+    compiled = spark.read.parquet(f"{out}/compiled")
 
     if list_duplicates:
         removed = run.rows.join(compiled.select("seq"), "seq", "left_anti").select(
@@ -48,7 +49,7 @@ def compile_exports(
         )
         removed.write.parquet(f"{out}/duplicates")
 
-    stats = report.run_statistics(files, compiled)
+    stats = report.counted_statistics(files, counts)
     report.reconcile(files, stats).write.parquet(f"{out}/report_balance")
     report.require_balance(spark.read.parquet(f"{out}/report_balance"))
     stats.write.parquet(f"{out}/report_stats")

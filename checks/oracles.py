@@ -754,4 +754,12 @@ ORACLES |= {
     "a1_index_of_runs": ORACLES["a1_artist_index"],
     "a2_index_of_runs": ORACLES["a2_album_index"],
     "a5_stats_of_runs": ORACLES["a5_collection_stats"],
+    "w1_ids_of_runs": ORACLES["w1_track_ids"],
+    "w4_pages_of_runs": ORACLES["w4_track_pages"],
+}
+
+# Counts taken while rows are written equal those of a scan.
+ORACLES |= {
+    "a16_counted_while_written": ORACLES["a16_run_statistics"],
+    "q2_reconcile_counted": ORACLES["q2_reconcile"],
 }

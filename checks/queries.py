@@ -16,6 +16,7 @@ from catalogforge.operators import (
     inverted,
     lookup,
     maintained,
+    numbered as numbering,
     parsing,
     report,
     search,
@@ -604,6 +605,19 @@ def a16_run_statistics(spark, sf):
     )
 
 
+def _counted(spark, sf):
+    """The files, and the counts that the write of their unique rows took along."""
+    run = parsed(spark, sf)
+    kept, counts = report.counted(dedup.dedup_first(run.rows, CONTENT, "seq"))
+    kept.write.parquet(scratch_path(spark, "counted"))
+    return report.report_files(run.sources), counts
+
+
+@query
+def a16_counted_while_written(spark, sf):
+    return report.counted_statistics(*_counted(spark, sf))
+
+
 @query
 def a17_format_census(spark, sf):
     return report.format_census(report.report_files(parsed(spark, sf).sources))
@@ -617,6 +631,25 @@ def w1_track_ids(spark, sf):
     return numbered(spark, sf).select("id", "seq", "name")
 
 
+def _numbered(spark, sf, order):
+    """Tracks under a number in ``order``, which come in three runs: rated, short, and other ones."""
+    few = cleaned(spark, sf).select("artist", "album", "trackNumber", "seq", "name", "rating", "size")
+    few = stage(few, "few")
+    rated = F.coalesce(F.col("rating"), F.lit(0)) > 0
+    small = F.coalesce(F.col("size") % 3 == 0, F.lit(False))
+    store = numbering.Numbered(spark, scratch_path(spark, "numbered"), order)
+    for part in (rated, ~rated & small, ~rated & ~small):
+        store.add(few.filter(part))
+    return store
+
+
+@query
+def w1_ids_of_runs(spark, sf):
+    number = F.col("position") - 1
+    track_id = F.concat(F.lit("track-"), C.padded(number, 5)).alias("id")
+    return _numbered(spark, sf, ["seq"]).positions().select(track_id, number.alias("seq"), "name")
+
+
 @query
 def w2_first_and_last(spark, sf):
     return entities.entity_summary(
@@ -635,6 +668,13 @@ def w4_track_pages(spark, sf):
     return browse.paginate(few, browse.site_order()).select("seq", "position", "page")
 
 
+@query
+def w4_pages_of_runs(spark, sf):
+    page = F.floor((F.col("position") - 1) / browse.PAGE_SIZE) + 1
+    numbers = _numbered(spark, sf, browse.site_order()).positions()
+    return numbers.select("seq", "position", page.alias("page"))
+
+
 @query
 def o1_index_order(spark, sf):
     return entities.album_index(cleaned(spark, sf)).select("position", "name", "slug")
@@ -970,3 +1010,9 @@ def q2_reconcile(spark, sf):
     files = report.report_files(run.sources)
     stats = report.run_statistics(files, dedup.dedup_first(run.rows, CONTENT, "seq"))
     return report.reconcile(files, stats)
+
+
+@query
+def q2_reconcile_counted(spark, sf):
+    files, counts = _counted(spark, sf)
+    return report.reconcile(files, report.counted_statistics(files, counts))

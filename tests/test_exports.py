@@ -202,6 +202,9 @@ def test_compile(spark, folder, tmp_path):
     assert spark.read.parquet(f"{out}/duplicates").count() == stats.duplicates_removed
     assert (stats.files_processed, stats.empty_files) == (15, 2)
     assert spark.read.parquet(f"{out}/report_balance").first().balanced
+    scanned = report.run_statistics(spark.read.parquet(f"{out}/report_files"), compiled)
+    assert scanned.columns == spark.read.parquet(f"{out}/report_stats").columns
+    assert scanned.first().asDict() == stats.asDict()
     assert [r.source_path.removeprefix(prefix) for r in
             spark.read.parquet(f"{out}/report_errors").collect()] == []
     csv = tables.read_csv(spark, f"{out}/csv")
