@@ -47,6 +47,8 @@ LAYOUT = {
 }
 
 SLICE = 4 << 20
+# Bytes that the table of pieces may hold: what it forgets goes to the library once more.
+MEMORY = 160 << 20
 
 _tokenizers: dict[str, Tokenizing] = {}
 
@@ -69,7 +71,7 @@ class Tokenizing:
         size = self.library.get_vocab_size()
         # The letter that byte-level vocabularies write for a blank.
         blank = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.pieces = Pieces(self.encoded, byte_level, blank, lead=False)
+        self.pieces = Pieces(self.encoded, byte_level, blank, lead=False, memory=MEMORY)
 
     def encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
