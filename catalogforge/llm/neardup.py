@@ -3,8 +3,9 @@
 SimHash links within two bits (``simhash.linked``) find texts that are almost equal.
 Texts that share four fifths of their five-word shingles lie about eleven bits apart,
 where a tree over 64 bits prunes nothing, so a second sketch proposes those pairs: bands
-of min-wise hashes. Members of a band meet centres of it, in rounds until all that have not
-met are tied, and a proposed pair counts if its sets of shingles share ``similarity``.
+of min-wise hashes. Members of a band meet a few centres of it; those that are not tied then
+meet where the rarest differences from a centre coincide, which leaves out no pair that is alike.
+A proposed pair counts if its sets of shingles share ``similarity``.
 Whole sketches only spare far pairs that comparison. Links of both kinds join in components, of which the smallest ``doc_id`` stays.
 
 Defined cases: null texts count as empty, and all texts without words are one group; rows
@@ -115,7 +116,12 @@ def _central(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.groupBy("node").agg(F.sum("with").alias("score"))
 
 
-def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _joined(
+    nodes: DataFrame,
+    known: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    propose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``node, root``: components of the ``known`` links and of all links within the bands.
 
     In rounds, members of a band that are not in one component yet meet centres of it;
@@ -123,6 +129,9 @@ def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], Da
     sketches around them, later ones come from outside the largest component. Their number
     grows by ``GROWTH`` a round, and a band is done when what is left of it is one
     component, so two members either met or are tied.
+
+    ``propose`` (from ``centre, node, root`` to pairs ``a, b`` of different roots, at least all
+    that count) takes the place of the rounds after the first, and ends them.
     """
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     total = nodes.count() * BANDS
@@ -147,10 +156,18 @@ def _joined(nodes: DataFrame, known: DataFrame, verify: Callable[[DataFrame], Da
         if apart.isEmpty():
             return tied
         rest = stage(hot_join(named, apart, "band", "n", total).filter("main IS NOT NULL"), "neardup-rest")
+        if decided is not None and propose is not None:
+            known_centres = apart.select("band", "n").join(first, "band")
+            around = hot_join(rest.select("band", "node", "root"), known_centres, "band", "n", total)
+            fresh = propose(stage(around.select("centre", "node", "root").distinct(), "neardup-around"))
+            fresh = stage(fresh.join(decided, ["a", "b"], "left_anti"), "neardup-pairs")
+            links = tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verify(fresh))
+            return components(stage(links, "neardup-links"), "neardup-groups")
         outside = [F.col("root") == F.col("main")] if most > CENTRES else []
         order = Window.partitionBy("band").orderBy(*outside, F.desc("score"), F.xxhash64("node"), "node")
         chosen = rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-        chosen = stage(chosen.select("band", "node", "root"), "neardup-chosen")
+        chosen = stage(chosen.select("band", "node", "root", "rank"), "neardup-chosen")
+        first = chosen.filter("rank = 1").select("band", F.col("node").alias("centre"))
         centres = chosen.groupBy("band").agg(F.collect_list(F.struct("node", "root")).alias("centres"))
         table = stage(apart.select("band", "n").join(centres, "band"), "neardup-centres")
         met = hot_join(rest.select("band", "node", "root"), table, "band", "n", total)
@@ -223,20 +240,73 @@ def _jaccard(x: str, y: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(common / either)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles share ``similarity``, of those whose sketches come near it.
-
-    ``rows`` (``th, text``) are read again for the texts of pairs left to decide.
-    """
-    near = stage(_alike(pairs, nodes, similarity - MARGIN), "neardup-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _grams(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, grams`` of the ``node``s wanted; ``rows`` (``th, text``) are read again for their texts."""
     named = nodes.select("node", "th", "doc_id").join(wanted, "node")
     same = (rows["th"] == named["th"]) & rows["doc_id"].eqNullSafe(named["doc_id"])
     found = rows.join(named, same).select("node", "text").dropDuplicates(["node"])
-    both = _fetched(near, stage(_shingled(found), "neardup-shingles"), "grams")
+    return stage(_shingled(found), "neardup-shingles")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles share ``similarity``, of those whose sketches come near it."""
+    near = stage(_alike(pairs, nodes, similarity - MARGIN), "neardup-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    both = _fetched(near, _grams(wanted, nodes, rows), "grams")
     return both.filter(_jaccard("x", "y") >= similarity).select("a", "b")
 
 
+def _proposed(around: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different roots around one centre: all that share ``similarity``, few others.
+
+    Texts around a centre have most shingles in common, so they are told apart by how they
+    differ from it. With ``d`` shingles between a text and the centre, ``n`` shingles of its own
+    and ``most = (n + m)(1 - s) / (1 + s)`` between two texts that are alike, the differences
+    of these share ``(d + e - most) / 2``: one of the rarest ``(d - e + most) / 2 + 1`` of each.
+    A text within that bound of the centre has met it and is tied to it, so one of a pair lies
+    outside; it also holds that ``|d - e| <= most``, and the sizes differ by ``similarity`` at most.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    spare = 1e-6
+    pairs = around.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    met = _fetched(pairs, grams, "grams").select(
+        F.col("a").alias("centre"),
+        F.col("b").alias("node"),
+        F.size("x").alias("of_centre"),
+        F.size("y").alias("n"),
+        F.array_union(F.array_except("x", "y"), F.array_except("y", "x")).alias("away"),
+    )
+    met = stage(met.join(around, ["centre", "node"]).withColumn("d", F.size("away")), "neardup-away")
+    each = met.select("centre", "node", "root", "of_centre", "n", "d", F.explode("away").alias("gram"))
+    each = each.withColumn("key", F.xxhash64("centre", "gram")).drop("gram")
+    held = each.groupBy("key").agg(F.count("*").alias("c")).withColumn("holders", F.col("c"))
+    total = met.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+    told = hot_join(each, stage(held, "neardup-holders"), "key", "c", total)
+    order = Window.partitionBy("centre", "node").orderBy("holders", "key")
+    placed = told.withColumn("at", F.row_number().over(order) - 1).drop("holders")
+    most = F.col("n") * (1 + 1 / similarity) * share
+    bound = (F.col("n") * similarity + F.col("of_centre")) * share
+    tied = F.col("d") <= (F.col("n") + F.col("of_centre")) * share
+    few = (F.col("d") + most - bound) / 2
+    few = F.when(F.col("tied"), few).otherwise(F.least(few, most / 2))
+    placed = placed.withColumn("tied", tied).filter(F.col("at") <= F.greatest(few, most) + spare)
+    placed = stage(placed, "neardup-placed")
+    left = placed.filter(F.col("at") <= few + spare)
+    right = placed.filter(~F.col("tied") & (F.col("at") <= most + spare))
+    right = right.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "d", "at")])
+    apart = (F.col("n") + F.col("_n")) * share + spare
+    common = F.least(F.col("d") - F.col("at"), F.col("_d") - F.col("_at"))
+    smaller = (F.col("d") < F.col("_d")) | ((F.col("d") == F.col("_d")) & (F.col("node") < F.col("_node")))
+    near = (
+        (F.col("root") != F.col("_root"))
+        & (F.col("tied") | smaller)
+        & (F.abs(F.col("d") - F.col("_d")) <= apart)
+        & (2 * common >= F.col("d") + F.col("_d") - apart)
+    )
+    found = left.join(right, (left["key"] == right["key"]) & near)
+    return found.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th`` of the documents that stay; ``th`` is the MD5 of the text."""
     short_batches(docs)
@@ -261,7 +331,12 @@ def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = hot_join(nodes.select("node", "fp"), fps, "fp", "n", total)
     of_node = same.select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = of_fp.unionByName(of_node).filter(F.col("a") != F.col("b"))
-    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, rows, similarity))
+
+    def propose(around: DataFrame) -> DataFrame:
+        wanted = around.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
+        return _proposed(around, _grams(wanted, nodes, rows), similarity)
+
+    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, rows, similarity), propose)
     tied = every.filter(F.col("node") != F.col("root"))
     return nodes.join(tied, "node", "left_anti").select("doc_id", "th")
 

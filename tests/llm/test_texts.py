@@ -378,3 +378,26 @@ def test_quality_sample_keeps_to_its_budget_of_lines(make, spark):
     finally:
         quality.fit = fit
     assert 0 < seen[0] <= 100 < seen[1]
+
+
+def test_near_copies_of_one_text_meet_few_others(spark):
+    """All pairs that are alike and not tied yet, and hardly any other of a dense group."""
+    rnd = random.Random(5)
+    base, fresh = set(range(120)), iter(range(1000, 10**6))
+    sets = {0: base}
+    for i in range(1, 241):
+        kin = sets[rnd.randrange(i)] if i % 3 == 0 else base
+        lost = set(rnd.sample(sorted(kin), rnd.randrange(4 if i % 3 == 0 else 40)))
+        sets[i] = (kin - lost) | {next(fresh) for _ in range(rnd.randrange(len(lost) + 3))}
+
+    def alike(x, y):
+        return len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+
+    roots = {i: 0 if alike(0, i) else i for i in sets}
+    around = spark.createDataFrame([(0, i, r) for i, r in roots.items()], "centre long, node long, root long")
+    grams = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, grams array<long>")
+    got = {(r.a, r.b) for r in neardup._proposed(around, grams, 0.8).collect()}
+    apart = {(x, y) for x in sets for y in sets if x < y and roots[x] != roots[y]}
+    want = {(x, y) for x, y in apart if alike(x, y)}
+    assert len(want) > 20 and want <= got <= apart
+    assert len(got) < len(apart) / 20
