@@ -1,7 +1,7 @@
 """Turning export lines into rows of one schema, each under its own file's header.
 
-The text is scanned twice: once for per-segment facts (line counts, first lines),
-which are small and staged, and once to parse. The data itself is never shuffled;
+The text is scanned three times: for the sizes of segments and for their first lines,
+which are small and staged, and to parse. The data itself is never shuffled;
 rows meet their file's layout in a join on (source, segment), so no join key stands
 for more than one bounded segment.
 """
@@ -79,16 +79,33 @@ def _last_index(header: Column, name: Column | str) -> Column:
 
 
 def measure_segments(lines: DataFrame) -> DataFrame:
-    """One staged row per segment: size, first lines, and rank in (path, line) order."""
+    """One staged row per segment: size, first lines, and rank in (path, line) order.
+
+    Sizes are fixed-width aggregates, which are hashed; the first lines are then looked up by
+    their place. Carrying lines in the aggregate would make every task sort all its text.
+    """
     filled = F.when(~is_blank("line"), F.col("pos"))
-    facts = lines.groupBy("source_path", "source_file", "segment").agg(
+    sizes = lines.groupBy("source_path", "source_file", "segment").agg(
         F.min("pos").alias("first_pos"),
         F.count(F.lit(1)).alias("n_lines"),
         F.count(filled).alias("n_filled"),
         F.min(filled).alias("first_filled"),
         F.max(filled).alias("last_filled"),
-        F.min_by("line", "pos").alias("top_line"),
-        F.min_by("line", filled).alias("first_line"),
+    )
+    sizes = stage(sizes, "segments")
+    places = F.array_compact(F.array_distinct(F.array("first_pos", "first_filled")))
+    wanted = sizes.select("source_path", "segment", F.explode(places).alias("pos"))
+    found = lines.select("source_path", "segment", "pos", "line").join(
+        wanted, ["source_path", "segment", "pos"]
+    )
+    first_lines = found.groupBy("source_path", "segment").agg(
+        F.min_by("line", "pos").alias("top_line"), F.max_by("line", "pos").alias("_later_line")
+    )
+    first_line = F.when(F.col("first_filled").isNotNull(), F.col("_later_line"))
+    facts = (
+        sizes.join(stage(first_lines, "first-lines"), ["source_path", "segment"], "left")
+        .withColumn("first_line", first_line)
+        .drop("_later_line")
     )
     # Paths sort part by part, so a folder comes before its longer-named siblings.
     by_path = [F.split("source_path", "/"), "segment"]

@@ -14,6 +14,8 @@ from catalogforge.sources.schema import COLUMNS, COLUMNS_BY_WIDTH, EXTRA, EXTRA_
 
 # Order keys per file, so that no source outgrows a task.
 KEYS_PER_FILE = 1_000_000
+# Orders per task that makes lines of them.
+ROWS_PER_TASK = 100_000
 MAX_YEAR = 2024
 
 HEADER_18 = COLUMNS_BY_WIDTH[19]
@@ -31,16 +33,31 @@ def _every(n: int) -> Column:
     return F.col("o_orderkey") % n == 0
 
 
-def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 26 columns as text, ``seq``, and the nation a row comes from."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer and nation, as the tables hold them."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
+
+
+def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 26 columns as text, ``seq``, and the nation a row comes from."""
+    return _catalog(_orders(spark, sf_dir)).select(
+        *[F.col(f"`{c}`") for c in COLUMNS],
+        F.array().cast(EXTRA_TYPE).alias(EXTRA),
+        F.col("o_orderkey").alias("seq"),
+        F.col("n_name").alias("nation"),
+        F.col("n_nationkey").alias("nation_key"),
+    )
+
+
+def _catalog(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_orders`` with the 26 columns as text beside their own."""
     key, empty = F.col("o_orderkey"), F.lit("")
     text = key.cast("string")
     day = F.col("o_orderdate").cast("date").cast("string")
@@ -89,13 +106,7 @@ def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
         "My Rating": digit(4),
         "Location": F.concat("c_mktsegment", F.lit(":"), text),
     }
-    return rows.select(
-        *[values[c].alias(c) for c in COLUMNS],
-        F.array().cast(EXTRA_TYPE).alias(EXTRA),
-        key.alias("seq"),
-        F.col("n_name").alias("nation"),
-        F.col("n_nationkey").alias("nation_key"),
-    )
+    return rows.select("*", *[values[c].alias(c) for c in COLUMNS])
 
 
 def _tabbed(names: tuple[str, ...], mood: Column) -> Column:
@@ -109,18 +120,43 @@ def export_lines(spark: SparkSession, sf_dir: str, layout: str = "mixed") -> Dat
     short, every 31st has surplus fields, every 29th is followed by a blank one, and
     every 41st row occurs again in a folder of copies.
     """
-    src = catalog_src(spark, sf_dir)
-    mixed = F.element_at(F.array(*map(F.lit, LAYOUTS)), (F.col("nation_key") % 8 + 1).cast("int"))
-    chosen = mixed if layout == "mixed" else F.lit(layout)
-    src = src.withColumns(
-        {"layout": chosen, "bucket": F.floor(F.col("seq") / KEYS_PER_FILE).cast("string")}
+    mixed = F.element_at(F.array(*map(F.lit, LAYOUTS)), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    src = _orders(spark, sf_dir).withColumns(
+        {
+            "seq": F.col("o_orderkey"),
+            "layout": mixed if layout == "mixed" else F.lit(layout),
+            "bucket": F.floor(F.col("o_orderkey") / KEYS_PER_FILE).cast("string"),
+            "folder": F.col("n_name"),
+        }
     )
     copies = src.filter(F.col("seq") % 41 == 0).withColumns(
-        {"nation": F.lit("COPIES"), "layout": F.lit("none")}
+        {"folder": F.lit("COPIES"), "layout": F.lit("none")}
     )
     rows = src.unionByName(copies).withColumn(
-        "source_path", F.concat(F.lit("lib/"), "nation", F.lit("/"), "bucket", F.lit(".txt"))
+        "source_path", F.concat(F.lit("lib/"), "folder", F.lit("/"), "bucket", F.lit(".txt"))
+    )
+    # Rows are numbered as they are in the tables, and become lines, which are far wider, after
+    # that; so many tasks that each sorts and expands about as many rows, whatever their number.
+    tasks = max(
+        spark.sparkContext.defaultParallelism,
+        -(-table(spark, sf_dir, "orders").count() // ROWS_PER_TASK),
     )
+    within = (
+        Window.partitionBy("source_path")
+        .orderBy("seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    place = F.row_number().over(Window.partitionBy("source_path").orderBy("seq"))
+    blank = F.when(F.col("seq") % 29 == 0, 1).otherwise(0)
+    numbered = rows.repartition(tasks, "source_path").withColumns(
+        {"at": place, "first_seq": F.min("seq").over(within), "blanks": F.sum(blank).over(within)}
+    )
+    # Lines before a row: those of the file's first row, one for each row between, and blank ones.
+    headed = F.when(F.col("layout").isin("separate", "unknown"), 1).otherwise(0)
+    first_blank = F.when(F.col("first_seq") % 29 == 0, 1).otherwise(0)
+    before = F.col("at") - 1 + headed + F.col("blanks") - blank - first_blank
+    numbered = numbered.withColumn("before", F.when(F.col("at") == 1, 0).otherwise(before))
+
     volume = F.lit("\t7")
     mood = F.concat(F.lit("mood "), F.col("`My Rating`"))
     body = (
@@ -128,14 +164,13 @@ def export_lines(spark: SparkSession, sf_dir: str, layout: str = "mixed") -> Dat
         .when(F.col("layout") == "unknown", _tabbed(HEADER_9, mood))
         .otherwise(F.concat(_tabbed(COLUMNS, mood), volume))
     )
-    place = F.row_number().over(Window.partitionBy("source_path").orderBy("seq"))
     ragged = (
         F.when(F.col("at") == 1, F.col("body"))
         .when(F.col("seq") % 23 == 0, F.substring_index("body", "\t", 3))
         .when(F.col("seq") % 31 == 0, F.concat("body", F.lit("\tmore\tand more")))
         .otherwise(F.col("body"))
     )
-    numbered = rows.withColumn("body", body).withColumn("at", place).withColumn("body", ragged)
+    bodies = _catalog(numbered).withColumn("body", body).withColumn("body", ragged)
     header_18, header_26 = ("\t".join(h) for h in (HEADER_18, COLUMNS))
     first = (
         F.when(F.col("layout") == "separate", F.array(F.lit(header_18 + "\t7"), F.col("body")))
@@ -146,10 +181,10 @@ def export_lines(spark: SparkSession, sf_dir: str, layout: str = "mixed") -> Dat
     later = F.when(F.col("seq") % 29 == 0, F.array(F.col("body"), F.lit("  "))).otherwise(
         F.array("body")
     )
-    lines = numbered.select(
+    lines = bodies.select(
         "source_path",
-        "seq",
+        "before",
         F.posexplode(F.when(F.col("at") == 1, first).otherwise(later)).alias("part", "line"),
     )
-    line_no = F.row_number().over(Window.partitionBy("source_path").orderBy("seq", "part"))
-    return lines.select("source_path", line_no.cast("bigint").alias("line_no"), "line")
+    line_no = (F.col("before") + F.col("part") + 1).cast("bigint")
+    return lines.select("source_path", line_no.alias("line_no"), "line")

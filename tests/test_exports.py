@@ -301,3 +301,29 @@ def test_hidden_exports_fail_the_compile(spark, tmp_path, name):
     (tmp_path / "in" / "_other").write_text("not an export")
     with pytest.raises(ValueError, match="hidden names"):
         compile_exports(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_measuring_sorts_no_text(spark, monkeypatch):
+    """The aggregate over all lines is hashed; sorting it would hold all text of a task."""
+    plans = []
+    stage = parsing.stage
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(parsing, "stage", seen)
+    rows = [("a", 1, " "), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, "z"), ("c", 1, "")]
+    lines = spark.createDataFrame(rows, "path string, no int, line string")
+    found = parsing.measure_segments(exports.lines_from_table(lines, "path", "no", "line"))
+    got = {r.source_path: (r.n_lines, r.n_filled, r.top_line, r.first_line) for r in found.collect()}
+    assert got == {"a": (3, 2, " ", "x"), "b": (1, 1, "z", "z"), "c": (1, 0, "", None)}
+    assert plans and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+
+
+def test_export_lines_are_numbered_once_and_narrow(spark):
+    """Rows are numbered before they become lines, by one sort."""
+    from checks.source import export_lines
+
+    plan = export_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
