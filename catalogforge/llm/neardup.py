@@ -240,19 +240,25 @@ def _jaccard(x: str, y: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(common / either)
 
 
-def _grams(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node, grams`` of the ``node``s wanted; ``rows`` (``th, text``) are read again for their texts."""
-    named = nodes.select("node", "th", "doc_id").join(wanted, "node")
+def _grams(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, repeated: bool) -> DataFrame:
+    """``node, grams`` of the ``node``s wanted; ``rows`` (``th, text``) are read again for their texts.
+
+    Texts meet the short rows of nodes in a hash join, so no task sorts texts. Only rows that
+    are ``repeated`` can find a text twice; texts are sent a second time only for them.
+    """
+    named = nodes.select("node", "th", "doc_id").join(wanted, "node").hint("shuffle_hash")
     same = (rows["th"] == named["th"]) & rows["doc_id"].eqNullSafe(named["doc_id"])
-    found = rows.join(named, same).select("node", "text").dropDuplicates(["node"])
-    return stage(_shingled(found), "neardup-shingles")
+    found = rows.join(named, same).select("node", "text")
+    return stage(_shingled(found.dropDuplicates(["node"]) if repeated else found), "neardup-shingles")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def _verified(
+    pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, repeated: bool
+) -> DataFrame:
     """The pairs whose sets of shingles share ``similarity``, of those whose sketches come near it."""
     near = stage(_alike(pairs, nodes, similarity - MARGIN), "neardup-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    both = _fetched(near, _grams(wanted, nodes, rows), "grams")
+    both = _fetched(near, _grams(wanted, nodes, rows, repeated), "grams")
     return both.filter(_jaccard("x", "y") >= similarity).select("a", "b")
 
 
@@ -313,6 +319,7 @@ def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("th"), text.alias("text"))
     drawn = stage(sketches(rows), "neardup-sketches")
+    repeated = not drawn.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
     # Exact copies collapse first; a node is the smallest id of its text.
     ids = drawn.groupBy("th").agg(F.min("doc_id").alias("doc_id"))
     match = (drawn["th"] == ids["th"]) & drawn["doc_id"].eqNullSafe(ids["doc_id"])
@@ -334,9 +341,9 @@ def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def propose(around: DataFrame) -> DataFrame:
         wanted = around.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
-        return _proposed(around, _grams(wanted, nodes, rows), similarity)
+        return _proposed(around, _grams(wanted, nodes, rows, repeated), similarity)
 
-    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, rows, similarity), propose)
+    every = _joined(nodes, edges, lambda pairs: _verified(pairs, nodes, rows, similarity, repeated), propose)
     tied = every.filter(F.col("node") != F.col("root"))
     return nodes.join(tied, "node", "left_anti").select("doc_id", "th")
 

@@ -401,3 +401,23 @@ def test_near_copies_of_one_text_meet_few_others(spark):
     want = {(x, y) for x, y in apart if alike(x, y)}
     assert len(want) > 20 and want <= got <= apart
     assert len(got) < len(apart) / 20
+
+
+def test_neardup_fetches_texts_without_sorting_them(spark, monkeypatch):
+    """Texts meet their nodes in a hash join; rows that occur twice still give one row a node."""
+    plans, stage = [], neardup.stage
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(neardup, "stage", seen)
+    texts = [(1, "a", "one two"), (2, "b", "three"), (1, "a", "one two")]
+    rows = spark.createDataFrame(texts, "doc_id long, th string, text string")
+    nodes = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "doc_id long, th string, node long")
+    got = neardup._grams(nodes.select("node"), nodes, rows, True).collect()
+    assert sorted((r.node, len(r.grams)) for r in got) == [(1, 1), (2, 1)]
+    once = neardup._grams(nodes.select("node"), nodes, rows.distinct(), False).collect()
+    assert sorted(once) == sorted(got)
+    last = plans[-1]
+    assert "ShuffledHashJoin" in last and "SortAggregate" not in last
