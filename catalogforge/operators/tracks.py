@@ -13,6 +13,10 @@ from catalogforge.sources.schema import TRACK_COLUMNS
 # Fixed value: tracks per chunk document.
 CHUNK_SIZE = 1000
 
+# Generated methods beyond so many bytes stay uncompiled in the JVM, where the session does not say
+# otherwise than Spark's default.
+METHOD_KEY, METHOD_DEFAULT, METHOD = "spark.sql.codegen.hugeMethodLimit", "65535", "8000"
+
 # Compiled columns read as whole numbers, those kept only above zero, and texts.
 POSITIVE = {
     "Bit Rate": "bitRate",
@@ -36,6 +40,12 @@ TEXTS = {
 }
 
 
+def small_methods(df: DataFrame) -> None:
+    """Lets the session run projections that are too wide to be compiled as one method in parts."""
+    if df.sparkSession.conf.get(METHOD_KEY) == METHOD_DEFAULT:
+        df.sparkSession.conf.set(METHOD_KEY, METHOD)
+
+
 def clean_tracks(
     compiled: DataFrame, order: str = "seq", max_year: int | Column | None = None
 ) -> DataFrame:
@@ -44,6 +54,7 @@ def clean_tracks(
     Rows without a track name are dropped, and so are rows whose artist or album is
     all question marks. Missing artists and albums get a default name first.
     """
+    small_methods(compiled)
     artist, album = C.clean_artist("Artist"), C.clean_album("Album")
     named = compiled.filter(
         ~C.is_blank("Name") & _not_questioned("Artist", artist) & _not_questioned("Album", album)

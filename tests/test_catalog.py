@@ -348,3 +348,16 @@ def test_hot_slug_spreads_over_tasks(spark):
     assert [(r.slug, r.n) for r in rows if r.seq is None] == [("none", 3)]
     hot = Counter(r._task for r in rows if r.slug == "hot")
     assert max(hot.values()) < 0.6 * sum(hot.values())
+
+
+def test_wide_projections_run_in_compiled_parts(spark):
+    """``clean_tracks`` lowers the limit of generated methods from Spark's default, and nothing else."""
+    key, was = tracks.METHOD_KEY, spark.conf.get(tracks.METHOD_KEY)
+    compiled = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in COLUMNS) + ", seq long")
+    try:
+        for given, then in ((tracks.METHOD_DEFAULT, tracks.METHOD), ("4000", "4000")):
+            spark.conf.set(key, given)
+            tracks.clean_tracks(compiled)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, was)
