@@ -1,8 +1,9 @@
 """Token ids of many texts through a library that encodes each distinct piece once.
 
-Texts are cut at blanks that no token crosses. The pieces of a slice are looked up in a
-table of those met before; what is new goes to the library in one call, and the ids of
-all texts are gathered from the table by array operations.
+Texts are cut at blanks that no token crosses. The distinct pieces of a slice are looked up
+in a table of those met before; what is new goes to the library in one call, and the ids of
+all texts are gathered from the table by array operations. Where every blank is a cut, Arrow
+cuts and finds the distinct pieces; only those become Python strings.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Characters of text taken at a time, and bytes that the table of pieces may hold.
 SEGMENT = 2 << 20
@@ -43,6 +46,11 @@ def after_text(text: str) -> list[str]:
     return AFTER_TEXT.split(text) if text.startswith(" ") or "  " in text else text.split(" ")
 
 
+def single_blanks(text: str) -> bool:
+    """Whether both of the above cut at every blank."""
+    return not (text.startswith(" ") or BLANK_RUN.search(text))
+
+
 def segments(text: str) -> Iterator[str]:
     """The text in parts of about ``SEGMENT`` characters, cut at single blanks between words.
 
@@ -115,33 +123,38 @@ class Pieces:
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, how many each text has, and whether ``check`` held for all its pieces."""
         values, sizes, good = [], [], []
-        parts: list[str | tuple[str]] = []
-        counts: list[tuple[int, int]] = []
+        # Of each part: its text, its first piece where that has no blank, and its other pieces,
+        # as a list or, if they are what lies between blanks, still as one string.
+        parts: list[tuple[int, tuple[str] | None, str | list[str] | None]] = []
         length = 0
 
         def flush() -> None:
-            nonlocal parts, counts, length
-            if counts:
-                found, lengths, fine = self._look_up(parts)
-                ends = np.cumsum([n for _, n in counts])
+            nonlocal parts, length
+            if parts:
+                index, counts = self._places(parts)
+                found, lengths, fine = self._look_up(index)
+                ends = np.cumsum(counts)
                 total = np.concatenate([[0], np.cumsum(lengths)])
                 bad = np.concatenate([[0], np.cumsum(~fine)])
-                before = ends - [n for _, n in counts]
-                for (owner, _), a, b in zip(counts, before, ends, strict=True):
+                for (owner, _, _), a, b in zip(parts, ends - counts, ends, strict=True):
                     sizes[owner] += int(total[b] - total[a])
                     good[owner] = good[owner] and not bad[b] - bad[a]
                 values.append(found)
-            parts, counts, length = [], [], 0
+            parts, length = [], 0
 
         for owner, text in enumerate(texts):
             sizes.append(0)
             good.append(True)
             for number, part in enumerate(segments(text)):
-                cut = self.split(part)
-                if not number and not self.lead:
-                    cut[0] = (cut[0],)
-                parts += cut
-                counts.append((owner, len(cut)))
+                head, rest = None, part
+                if not single_blanks(part):
+                    rest = self.split(part)
+                    if not number and not self.lead:
+                        head, rest = (rest[0],), rest[1:]
+                elif not number and not self.lead:
+                    first, blank, after = part.partition(" ")
+                    head, rest = (first,), after if blank else None
+                parts.append((owner, head, rest))
                 length += len(part)
                 if length >= SEGMENT:
                     flush()
@@ -149,8 +162,33 @@ class Pieces:
         joined = np.concatenate(values) if values else np.zeros(0, np.int32)
         return joined, np.array(sizes, np.int64), np.array(good, bool)
 
-    def _look_up(self, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+    def _places(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table of all pieces of some parts, and how many each part has."""
+        place = self.known.__getitem__
+        cut = [rest for _, _, rest in parts if rest.__class__ is list]
+        uncut = [rest for _, _, rest in parts if rest.__class__ is str]
+        pieces = pc.split_pattern(pa.array(uncut, pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        # No piece holds a blank, so this makes strings of them in one step.
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if uncut else []
+        later = np.fromiter(map(place, words), np.int64, len(words))[coded.indices.to_numpy()]
+        other = np.fromiter((place(p) for rest in cut for p in rest), np.int64, sum(map(len, cut)))
+        heads = [head for _, head, _ in parts if head]
+        kind = np.array([2 * (r.__class__ is list) + (r.__class__ is str) for _, _, r in parts], np.int8)
+        begun = np.array([bool(head) for _, head, _ in parts])
+        counts = begun.astype(np.int64)
+        counts[kind == 1] += pc.list_value_length(pieces).to_numpy()
+        counts[kind == 2] += np.fromiter(map(len, cut), np.int64, len(cut))
+        index, kinds = np.empty(int(counts.sum()), np.int64), np.repeat(kind, counts)
+        firsts = (np.cumsum(counts) - counts)[begun]
+        kinds[firsts] = 0
+        index[firsts] = np.fromiter(map(place, heads), np.int64, len(heads))
+        index[kinds == 1], index[kinds == 2] = later, other
+        return index, counts
+
+    def _look_up(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces at ``index``, how many each has, and what is remembered of it."""
         if fresh := self.known.fresh:
             bare = [i for i, p in enumerate(fresh) if p.__class__ is tuple]
             spelled = [" " + p if p.__class__ is str else p[0] for p in fresh]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catalogforge.llm import alignment, manifest, queries, sharding
 from catalogforge.llm.bpe import vocabulary_path
-from catalogforge.llm.pieces import Pieces, after_text, byte_level
+from catalogforge.llm.pieces import Known, Pieces, after_text, byte_level
 from tests.llm.conftest import SCHEMA, TEXTS, rows_of
 
 HARD = [
@@ -172,6 +172,28 @@ def test_first_pieces_without_a_blank(libraries):
     assert after_text("a  b c ") == ["a", " b", "c", ""]
 
 
+def test_only_distinct_pieces_of_a_slice_are_looked_up(libraries, monkeypatch):
+    a, _ = libraries
+    looked_up = []
+
+    class Counting(Known):
+        def __getitem__(self, piece):
+            looked_up.append(piece)
+            return super().__getitem__(piece)
+
+    monkeypatch.setattr("catalogforge.llm.pieces.Known", Counting)
+    blank = np.array([(a.id_to_token(i) or "").startswith("Ġ") for i in range(a.get_vocab_size())])
+    for lead in (False, True):
+        pieces = Pieces(lambda p: [a.encode(x, add_special_tokens=False).ids for x in p], byte_level, blank, lead)
+        texts = ["the cat and the dog " * 500 + "end", "", "two  blanks\n the cat", "the", " the cat", "the cat"]
+        looked_up.clear()
+        ids, sizes, good = pieces.encode(texts)
+        whole = [a.encode(" " + t if lead else t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(x) for x in whole] and good.all()
+        assert ids.tolist() == [i for x in whole for i in x]
+        assert len(looked_up) < 25
+
+
 # --- op12 ---------------------------------------------------------------------------------
 
 
