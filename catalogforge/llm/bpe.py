@@ -227,6 +227,24 @@ def _source(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _encoded(bpe: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``doc_id, ids`` of ``doc_id, text``."""
+    found = [bpe.encode(t.as_py()) for t in batch.column(1)]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    values = np.concatenate(found).view(np.int32) if found else np.zeros(0, np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+
+
+def _decoded(bpe: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``doc_id, ids, text`` of ``doc_id, ids``."""
+    ids = batch.column(1)
+    ends = ids.offsets.to_numpy()
+    values = ids.values.to_numpy(zero_copy_only=False)
+    out = [bpe.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``ids``: the token ids of every text. ``path``: vocabulary, read by the driver."""
     source = _source(docs, path)
@@ -234,11 +252,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(source.value)
         for batch in slices(batches, "text", SLICE):
-            found = [bpe.encode(t.as_py()) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = np.concatenate(found).view(np.int32) if found else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            yield _encoded(bpe, batch)
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -250,13 +264,24 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(source.value)
         for batch in slices(batches, "ids", SLICE):
-            ids = batch.column(1)
-            ends = ids.offsets.to_numpy()
-            values = ids.values.to_numpy(zero_copy_only=False)
-            out = [bpe.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            arrays = [batch.column(0), ids, pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "text"])
+            yield _decoded(bpe, batch)
 
     ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
     rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), ids)
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` with one Python worker a task, where those two in a row take two.
+
+    A worker keeps its encoder for later tasks, so half the workers hold half the memory.
+    """
+    source = _source(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(source.value)
+        for batch in slices(batches, "text", SLICE):
+            for part in slices([_encoded(bpe, batch)], "ids", SLICE):
+                yield _decoded(bpe, part)
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, text string")

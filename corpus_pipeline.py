@@ -47,7 +47,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, token ids, their number, and a checksum of the text that they decode to."""
-    return bpe.decode(bpe.encode(docs)).select(
+    return bpe.encode_decode(docs).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),

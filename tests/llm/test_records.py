@@ -93,6 +93,14 @@ def test_encoder_equals_the_library(library):
     assert own.decode(np.array(some, np.uint32)) == library.decode(some, skip_special_tokens=False)
 
 
+def test_pipeline_tokens_take_one_python_worker_a_task(spark, odd, empty):
+    both = bpe.decode(bpe.encode(odd)).select("doc_id", "ids", "text")
+    assert sorted(map(repr, bpe.encode_decode(odd).collect())) == sorted(map(repr, both.collect()))
+    assert bpe.encode_decode(empty).count() == 0
+    stage = corpus_pipeline.token_ids(spark, odd, "")
+    assert stage._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_op5_and_op9_over_odd_rows(spark, folder, library):
     ids = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in TEXTS}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
