@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from catalogforge.session import stage
 
 # A key counts as hot from one in so many rows on, so at most so many keys are hot.
 HOT_SHARE = 1000
+# Links that a task contracts at a time.
+LINKS = 1 << 18
 
 
 # Rows of an Arrow batch, where the session does not say otherwise than Spark's default.
@@ -83,20 +87,83 @@ def byte_lengths(values: pa.Array) -> list[int]:
     return [n or 0 for n in pc.binary_length(values).to_pylist()]
 
 
+class Forest:
+    """Union-find over sorted distinct values."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.up = np.arange(len(self.values))
+
+    def roots(self) -> np.ndarray:
+        up = self.up
+        while not np.array_equal(nxt := up[up], up):
+            up = nxt
+        self.up = up
+        return up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = np.searchsorted(self.values, a), np.searchsorted(self.values, b)
+        while True:
+            up = self.roots()
+            x, y = up[a], up[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+
+    def tied(self) -> tuple[np.ndarray, np.ndarray]:
+        """The values that are tied to a smaller one, and the smallest of each one's tree."""
+        up = self.roots()
+        tied = up != np.arange(len(up))
+        return self.values[tied], self.values[up[tied]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``u, v, part``: for every ``LINKS`` links of a task a forest that ties the same nodes."""
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows, part = [], 0, TaskContext.get().partitionId() << 32
+
+        def forest() -> pa.RecordBatch:
+            u, v = (np.concatenate([b.column(i).to_numpy() for b in kept]) for i in (0, 1))
+            ties = Forest(np.concatenate([u, v]))
+            ties.join(u, v)
+            u, v = ties.tied()
+            arrays = [pa.array(u), pa.array(v), pa.array(np.full(len(u), part))]
+            return pa.RecordBatch.from_arrays(arrays, ["u", "v", "part"])
+
+        for batch in batches:
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows >= LINKS:
+                yield forest()
+                kept, rows, part = [], 0, part + 1
+        if rows:
+            yield forest()
+
+    return edges.mapInArrow(forests, "u long, v long, part long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node, root``: the smallest node that each node of ``edges`` (``a``, ``b``) reaches.
 
-    Alternating large and small stars, so the number of rounds grows with the
+    Links are first contracted to forests where they lie; a single forest is the result.
+    Forests meet in alternating large and small stars, so the number of rounds grows with the
     logarithm of the longest path. Every round is written to the shared folder. Nodes
     that occur in no edge to another node have no row.
     """
-    now = stage(
+    distinct = (
         edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        label,
+        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+        .distinct()
     )
-    seen = _mark(now)
+    forests = stage(_contracted(distinct), label)
+    now = forests.select("u", "v")
+    *seen, first, last = _mark(forests, F.min("part"), F.max("part"))
+    if first == last:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    seen = tuple(seen)
     while True:
         total = 2 * seen[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -109,9 +176,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = mark
 
 
-def _mark(edges: DataFrame) -> tuple:
+def _mark(edges: DataFrame, *further: Column) -> tuple:
     both = F.xxhash64("u", "v").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(both), F.min("u")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(both), F.min("u"), *further).first())
 
 
 def _star(edges: DataFrame, wanted: Column, total: int, own: bool = False) -> DataFrame:

@@ -36,6 +36,7 @@ SAMPLE = 6000
 # Lines of the sample that the driver fits on; its documents are taken in the order of their draw.
 LINES = 400_000
 WINDOW = 64
+BLOCK = 4096
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-4
 BINS = 8
 SLICE = 1 << 20
@@ -283,17 +284,22 @@ def fit(facts: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
     share_of = (1.0 / np.repeat(stops - first, stops - first))[at] * inside
     offsets = (np.arange(3 * len(FACTS)) * (BINS + 1)).reshape(3, -1)
     coded = [b + o for b, o in zip(_around(bins, first), offsets, strict=True)]
-    coded = np.concatenate(coded, axis=1).astype(np.int64)
+    coded = np.concatenate([c.astype(np.int16) for c in coded], axis=1)
+    # Evidence and gradient take so many lines at a time: eight bytes for each of a line's bins.
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(coded), BLOCK)]
     flat = np.zeros(3 * len(FACTS) * (BINS + 1) + 1)
     chain = np.eye(2)
     moments = [np.zeros((2, len(flat))), np.zeros((2, 4))]
     documents = len(labels)
     for epoch in range(1, EPOCHS + 1):
-        odds = (flat[coded].sum(axis=1) + flat[-1])[at] * inside
+        evidence = np.concatenate([flat[coded[b]].sum(axis=1) for b in blocks])
+        odds = (evidence + flat[-1])[at] * inside
         good, pairs = _expect(odds, inside, chain)
         gap = np.zeros(len(bins))
         np.add.at(gap, at[inside], ((target[:, None] - good) * share_of)[inside])
-        grad = np.bincount(coded.ravel(), np.repeat(gap, coded.shape[1]), len(flat))
+        grad = np.zeros(len(flat))
+        for b in blocks:
+            np.add.at(grad, coded[b].ravel(), np.repeat(gap[b], coded.shape[1]))
         grad[-1] = gap.sum()
         grad = grad / documents - DECAY * flat
         y = target.astype(int)

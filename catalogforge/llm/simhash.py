@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogforge.llm.common import components, hot_join, texts
+from catalogforge.llm.common import Forest, components, hot_join, texts
 from catalogforge.session import stage
 
 SHINGLE = 3
@@ -140,35 +140,9 @@ def _halves(own, asks, point, bound: int, radius: int):
     yield "out", own[far > bound], np.concatenate([near, asks[ask + radius > bound]])
 
 
-class _Forest:
-    """Union-find over sorted distinct values."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
-        self.up = np.arange(len(self.values))
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while not np.array_equal(nxt := up[up], up):
-            up = nxt
-        self.up = up
-        return up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = np.searchsorted(self.values, a), np.searchsorted(self.values, b)
-        while True:
-            up = self.roots()
-            x, y = up[a], up[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
-
-
 def links(own: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``own`` and between ``own`` and ``asks``."""
-    forest = _Forest(np.concatenate([own, asks]))
+    forest = Forest(np.concatenate([own, asks]))
     todo = [(own, asks)]
     while todo:
         own, asks = todo.pop()
@@ -187,9 +161,7 @@ def links(own: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, n
                 other = every[at : at + (1 << 14)]
                 x, y = np.nonzero(np.bitwise_count(block[:, None] ^ other[None, :]) <= radius)
                 forest.join(block[x], other[y])
-    up = forest.roots()
-    tied = up != np.arange(len(up))
-    return forest.values[tied], forest.values[up[tied]]
+    return forest.tied()
 
 
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from catalogforge.llm import langid, merkle, neardup, quality, simhash, suffix
+from catalogforge.llm import common, langid, merkle, neardup, quality, simhash, suffix
 from catalogforge.llm.common import components, hot_join
 from catalogforge.llm.queries import QUERIES
 from tests.llm.conftest import TEXTS
@@ -57,6 +58,42 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_links_in_one_task_need_no_rounds(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(300)] + [(-5, 900), (900, 900), (901, 900)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in range(1, 301)} | {900: -5, 901: -5}
+    # Links in many forests meet in rounds.
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        dealt = components(df).collect()
+    finally:
+        spark.conf.unset(conf)
+    assert len(dealt) == len(want) and {r.node: r.root for r in dealt} == want
+    monkeypatch.setattr(common, "_star", lambda *a, **b: pytest.fail("a round over a single forest"))
+    alone = components(df).collect()
+    assert len(alone) == len(want) and {r.node: r.root for r in alone} == want
+
+
+def test_forests_of_few_links_at_a_time(spark):
+    code = common._contracted(spark.createDataFrame([(1, 0), (3, 2), (2, 1)], "u long, v long").coalesce(1))
+    assert sorted(tuple(r)[:2] for r in code.collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_quality_fit_holds_few_bytes_a_line():
+    rnd = np.random.default_rng(1)
+    facts = rnd.random((60_000, len(quality.FACTS)))
+    first = np.arange(0, 60_000, 20)
+    epochs, quality.EPOCHS = quality.EPOCHS, 2
+    tracemalloc.start()
+    try:
+        quality.fit(facts, first, np.arange(len(first)) % 2)
+        assert tracemalloc.get_traced_memory()[1] < 60_000 * 900
+    finally:
+        tracemalloc.stop()
+        quality.EPOCHS = epochs
+
+
 def test_hot_join_keeps_every_row(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"))
     table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 0").withColumn("v", F.col("k") + 1)
